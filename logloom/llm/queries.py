@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import op4_broadcast_ngrams
+from .language import op8_cross_parsing
+from .lines import op9_perfect_hash_lines
 from .mixing import op3_flow_mix
 from .sharding import op6_interleaved_shards
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op3_flow_mix": op3_flow_mix,
     "op4_broadcast_ngrams": op4_broadcast_ngrams,
     "op6_interleaved_shards": op6_interleaved_shards,
+    "op8_cross_parsing": op8_cross_parsing,
+    "op9_perfect_hash_lines": op9_perfect_hash_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {}
