@@ -7,8 +7,10 @@ from .language import op8_cross_parsing
 from .lines import op9_perfect_hash_lines
 from .mixing import op3_flow_mix
 from .sharding import op6_interleaved_shards
+from .simhash import op1_tiled_simhash
 
 QUERIES = {
+    "op1_tiled_simhash": op1_tiled_simhash,
     "op3_flow_mix": op3_flow_mix,
     "op4_broadcast_ngrams": op4_broadcast_ngrams,
     "op6_interleaved_shards": op6_interleaved_shards,
