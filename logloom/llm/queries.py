@@ -8,9 +8,11 @@ from .lines import op9_perfect_hash_lines
 from .mixing import op3_flow_mix
 from .sharding import op6_interleaved_shards
 from .simhash import op1_tiled_simhash
+from .weighted import op10_weighted_sampling
 
 QUERIES = {
     "op1_tiled_simhash": op1_tiled_simhash,
+    "op10_weighted_sampling": op10_weighted_sampling,
     "op3_flow_mix": op3_flow_mix,
     "op4_broadcast_ngrams": op4_broadcast_ngrams,
     "op6_interleaved_shards": op6_interleaved_shards,
