@@ -6,6 +6,7 @@ from .decontamination import op4_broadcast_ngrams
 from .language import op8_cross_parsing
 from .lines import op9_perfect_hash_lines
 from .mixing import op3_flow_mix
+from .secrets import op2_randomness_battery
 from .sharding import op6_interleaved_shards
 from .simhash import op1_tiled_simhash
 from .weighted import op10_weighted_sampling
@@ -13,6 +14,7 @@ from .weighted import op10_weighted_sampling
 QUERIES = {
     "op1_tiled_simhash": op1_tiled_simhash,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "op2_randomness_battery": op2_randomness_battery,
     "op3_flow_mix": op3_flow_mix,
     "op4_broadcast_ngrams": op4_broadcast_ngrams,
     "op6_interleaved_shards": op6_interleaved_shards,
