@@ -1,14 +1,66 @@
-"""Corpus preparation: stages over `documents`, each written and read again."""
+"""Corpus preparation: stages over `documents`, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. All
+but the last return the columns of `documents`; the last says which shard and slot
+each row of the mix goes to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logloom.llm.common import table, written
+from logloom.llm.decontamination import decontaminate
+from logloom.llm.language import UNDETERMINED, identify, train
+from logloom.llm.mixing import mix_sources
+from logloom.llm.sharding import interleave
+from logloom.llm.simhash import keep_first
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a language; null texts and texts without a letter go."""
+    return identify(docs, train(docs)).filter(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group of near duplicates.
+
+    Shingles of five words, fingerprints of 256 bits, a fifth of which may differ.
+    """
+    return keep_first(docs, shingle=5, words=4).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of a row as the mix takes; a row cut by the edge of its quota is whole or absent."""
+    out = mix_sources(docs, keep=("text", "lang", "n_chars"))
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    out = out.withColumn("_copies", copies).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row; copies of a row have places of their own."""
+    out = interleave(docs, 16, keep=("lang", "n_chars"))
+    return out.select("doc_id", "source", "lang", "n_chars", "size", "text_crc32", "shard", "slot")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-#: No stage order of this pipeline can be put in SQL: language, fingerprints and the seeded mix are computed.
+#: Language, fingerprints and the seeded mix can't be put in SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ from .mixing import op3_flow_mix
 from .secrets import op2_randomness_battery
 from .sharding import op6_interleaved_shards
 from .simhash import op1_tiled_simhash
+from .substrings import op5_backward_extension
 from .warc import op7_two_level_index
 from .weighted import op10_weighted_sampling
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_randomness_battery": op2_randomness_battery,
     "op3_flow_mix": op3_flow_mix,
     "op4_broadcast_ngrams": op4_broadcast_ngrams,
+    "op5_backward_extension": op5_backward_extension,
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_two_level_index": op7_two_level_index,
     "op8_cross_parsing": op8_cross_parsing,
