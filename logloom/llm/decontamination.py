@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: n-grams that are broadcast at most; beyond it the same join shuffles.
 MAX_BROADCAST = 500_000
@@ -48,6 +50,7 @@ def find_hits(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    item_text_col: str = "text",
     keep: tuple[str, ...] = (),
     max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
@@ -62,7 +65,7 @@ def find_hits(
     size = F.size("_words")
     lengths = sorted(
         r[0]
-        for r in benchmark.select(F.least(F.size(words(F.col(text_col))), F.lit(window)).alias("n"))
+        for r in benchmark.select(F.least(F.size(words(F.col(item_text_col))), F.lit(window)).alias("n"))
         .filter("n > 0")
         .distinct()
         .collect()  # at most `window` numbers
@@ -79,7 +82,7 @@ def find_hits(
     hit = F.lit(False)
     found = []
     for n in lengths:
-        grams = benchmark_grams(benchmark, n, item_col, text_col, window)
+        grams = benchmark_grams(benchmark, n, item_col, item_text_col, window)
         if grams.limit(max_broadcast + 1).count() <= max_broadcast:
             grams = F.broadcast(grams)
         inside = (F.col("_pos") >= 0) & (F.col("_pos") + n <= size)
@@ -123,8 +126,8 @@ def find_hits(
 
 def remove_spans(text: Column, spans: Column) -> Column:
     """The text without the words of ``spans`` and the separators that follow them."""
-    original = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    gaps = F.split(text, WORD, -1)
+    original = F.regexp_extract_all(text, F.lit(CASED_WORD), F.lit(0))
+    gaps = F.split(text, CASED_WORD, -1)
     inside = lambda i: F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
     rest = F.transform(original, lambda w, i: F.when(inside(i), F.lit("")).otherwise(F.concat(w, F.get(gaps, i + 1))))
     return F.concat(F.get(gaps, F.lit(0)), F.array_join(rest, ""))
@@ -136,15 +139,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     mode "documents" drops every contaminated document; "spans" keeps them without
     the hit words. Clean documents come back unchanged, null texts included.
     """
-    columns = docs.columns
-    rest = tuple(c for c in columns if c != options.get("id_col", "doc_id"))
-    out = find_hits(docs, benchmark, keep=rest, text_col=text_col, **options)
+    # a text's hits depend on the text alone: 128 bits of its hash name it, so no text is shuffled with its hits
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+    found = find_hits(docs.select(named.alias("_text_id"), text.alias("_text")), benchmark, id_col="_text_id", text_col="_text", **options)
+    hit = found.filter("n_hit > 0").select("_text_id", "spans").dropDuplicates(["_text_id"])
+    rows = docs.withColumn("_own_id", named)
+    same = F.col("_own_id") == F.col("_text_id")
     if mode == "documents":
-        return out.filter(F.col("n_hit") == 0).select(*columns)
+        return rows.join(hit.select("_text_id"), same, "left_anti").select(*docs.columns)
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
-    cut = F.when(F.col("n_hit") > 0, remove_spans(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    return out.withColumn(text_col, cut).select(*columns)
+    out = rows.join(hit.withColumnRenamed("spans", "_spans"), same, "left")
+    cut = F.when(F.col("_spans").isNotNull(), remove_spans(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
+    return out.withColumn(text_col, cut).select(*docs.columns)
 
 
 def op4_broadcast_ngrams(spark, sf_dir: str) -> DataFrame:

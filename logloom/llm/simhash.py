@@ -212,13 +212,13 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id.
 
-    Of rows that repeat that id, one stays. Rows with a null id stay only if no row
-    with an id is in their class.
+    Of rows that repeat that id, one stays. Rows with a null id can't be named and
+    all stay.
     """
     classes = near_duplicates(docs, id_col=id_col, **options)
-    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(id_col).distinct()
-    kept = kept.withColumnRenamed(id_col, "_kept_id")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    kept = classes.filter(F.col(id_col) == F.col("component")).select(id_col).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op1_tiled_simhash(spark, sf_dir: str) -> DataFrame:
