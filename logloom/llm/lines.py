@@ -189,7 +189,7 @@ def build_shards(repeated: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str
     # h1 alone indexes the arrays: one row for each h1, the rare second print of an h1 is an error
     shard = F.expr(f"cast(pmod(h1 % {shards} + if(h1 < 0, {2**64 % shards}, 0), {shards}) as int)")
 
-    def make(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h1 = pdf["h1"].to_numpy(np.int64).view(np.uint64)
         if len(np.unique(h1)) != len(h1):
             raise ValueError("two repeated lines share 64 bits of their hash; use more bits")

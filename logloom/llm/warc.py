@@ -60,12 +60,13 @@ def url_key(url: str | None) -> str:
     return f"{where}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def capture_key(url: str | None, page_id) -> str:
-    return f"{url_key(url)} {page_id}".replace("\n", "%0A").replace("\t", "%09")
+def _header_value(text: str) -> str:
+    return text.replace("\r", "%0D").replace("\n", "%0A").replace("\t", "%09")
 
 
-def _header_value(text: str) -> str:
-    return text.replace("\r", "%0D").replace("\n", "%0A")
+def capture_key(url: str | None, page_id) -> str:
+    """Key of a capture: from the URL as the record's header has it."""
+    return f"{url_key(_header_value(url or ''))} {page_id}"
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, refers_url: str | None = None, revisit: bool = False) -> bytes:
