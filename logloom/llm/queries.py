@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontamination import op4_broadcast_ngrams
 from .language import op8_cross_parsing
 from .lines import op9_perfect_hash_lines
@@ -26,4 +27,13 @@ QUERIES = {
     "op9_perfect_hash_lines": op9_perfect_hash_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints by XXH64, test statistics, parses and random draws can't be put in DuckDB's
+#: SQL: operators 1, 2, 8 and 10 are tested against brute force and held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_flow_mix": oracles.OP3,
+    "op4_broadcast_ngrams": oracles.OP4,
+    "op5_backward_extension": oracles.OP5,
+    "op6_interleaved_shards": oracles.OP6,
+    "op7_two_level_index": oracles.OP7,
+    "op9_perfect_hash_lines": oracles.OP9,
+}
