@@ -202,7 +202,7 @@ def sample(
     for lang, key, text in sorted(got, key=lambda r: keys.get((r[0], r[1]), 0)):
         if (lang, key) in keys:
             texts.setdefault(lang, []).append(text)
-    return tuple((lang, "\n".join(texts[lang])) for lang in sorted(texts))
+    return tuple((lang, "\n".join(texts[lang])[:CHARS_PER_LANGUAGE]) for lang in sorted(texts))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
