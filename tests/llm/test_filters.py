@@ -1,0 +1,149 @@
+"""Secrets, decontamination and language identification."""
+
+import collections
+import hashlib
+import random
+import re
+import string
+
+from pyspark.sql import functions as F
+
+from logloom.llm import decontamination, language, secrets
+
+BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in BASE.finditer(t) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+def test_base_findings_equal_a_plain_scan(spark, docs, raw):
+    rng = random.Random(2)
+    parts = ["password", "PassWd", "secret", "api_key", "APIKEY", "token", ": ", "=", " = ", '"', "'", "abc", "abcdef", "AKIA" + "A1" * 9, "AKIAX", "0f" * 13, "é𝒳", " ", "\n", "x.y=-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["password: token: abcdef123", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in secrets.scan(rows).collect():
+        assert [tuple(x) for x in r.base] == base(texts[r.doc_id]), texts[r.doc_id]
+    out = secrets.scan(docs).collect()
+    assert collections.Counter(str(r.doc_id) for r in out) == collections.Counter(str(r[0]) for r in raw)
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    rng = random.Random(5)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    rows = [(i, "see " + "".join(rng.choice(alphabet) for _ in range(40)) + " end") for i in range(200)]
+    rows += [(1000 + i, "see " + "".join(rng.choice(["the", "tion", "and", "er", "ing", "st"]) for _ in range(12)) + " end") for i in range(200)]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    hits = collections.Counter((r.doc_id >= 1000, bool(r.spans)) for r in out)
+    assert hits[(False, True)] >= 180 and hits[(True, True)] <= 10
+    one = next(r for r in out if r.doc_id < 1000 and r.spans)
+    assert (one.spans[0].start, one.spans[0].end, one.spans[0].kind) == (4, 44, "random")
+
+
+def test_battery_is_calibrated_and_defined_at_the_edges(spark):
+    rng = random.Random(7)
+    tokens = [("".join(rng.choice("0123456789abcdef") for _ in range(40)),) for _ in range(400)]
+    p = [r.p for r in secrets.test_tokens(spark.createDataFrame(tokens, "token string")).collect()]
+    assert 0.4 < sum(p) / len(p) < 0.6
+    odd = [("a" * 24,), ("",), (None,), ("a_b+c" * 5,), ("x",)]
+    got = {r.token: r.p for r in secrets.test_tokens(spark.createDataFrame(odd, "token string")).collect()}
+    assert got["a" * 24] < 1e-6 and got[""] is None and got[None] is None and got["a_b+c" * 5] is None
+
+
+def test_redaction(spark):
+    df = secrets.scan(spark.createDataFrame([(1, "é AKIA" + "A" * 16 + " end")], "doc_id int, text string")).withColumn("text", F.lit("é AKIA" + "A" * 16 + " end"))
+    assert df.select(secrets.redact(F.col("text"), F.col("spans"))).first()[0] == "é [SECRET] end"
+
+
+LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def tokens(t):
+    return WORD.findall((t or "").translate(LOW))
+
+
+def brute(texts, items, window=10):
+    grams = collections.defaultdict(set)
+    for item, t in items:
+        w = tokens(t)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            grams[tuple(w[i : i + n])].add(str(item) if item is not None else "null")
+    sizes, out = {len(g) for g in grams}, []
+    for t in texts:
+        w, hit, found = tokens(t), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in grams:
+                    hit |= set(range(i, i + n))
+                    found |= grams[tuple(w[i : i + n])]
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+def items_for(raw):
+    w = tokens(raw[0][1])
+    return [(1, raw[0][1]), (10, " ".join(w[2:9]).upper()), (2, "one, two"), (3, None), (4, ""), (None, "日本語"), (5, "A"), (5, raw[53][1])]
+
+
+def test_decontamination_equals_brute_force(spark, docs, none, raw):
+    items = items_for(raw)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = collections.Counter((str(r[0]), n, h, tuple(f)) for r, (n, h, f) in zip(raw, brute([r[1] for r in raw], items)))
+    for bound in (500_000, 0):  # broadcast, and the shuffled join
+        out = decontamination.find_hits(docs, bench, max_broadcast=bound).collect()
+        assert collections.Counter((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in out) == want
+    assert decontamination.find_hits(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontamination.find_hits(none, bench).count() == 0
+
+
+def test_clean_documents_stay_and_spans_go(spark, docs, raw):
+    items = items_for(raw)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    hits = brute([r[1] for r in raw], items)
+    kept = decontamination.decontaminate(docs, bench).collect()
+    assert collections.Counter(str(r.doc_id) for r in kept) == collections.Counter(str(r[0]) for r, h in zip(raw, hits) if not h[1])
+    cut = decontamination.decontaminate(docs, bench, mode="spans")
+    assert cut.count() == len(raw)
+    assert cut.columns == docs.columns
+    clean = spark.createDataFrame([(7, "Say one, TWO! three")], "doc_id int, text string")
+    assert decontamination.decontaminate(clean, bench, mode="spans").first().text == "Say three"
+
+
+def test_language_on_held_out_documents(spark):
+    rng = random.Random(4)
+    syllables = {"aa": "ka lo mi nu ta re", "bb": "sch ung ein der ich ach", "cc": "que eau ille oux ant es"}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(syllables))
+        text = " ".join("".join(rng.choice(syllables[lang].split()) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 60)))
+        rows.append((i, text, lang))
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    out = language.identify(df, language.train(df)).withColumn("out", language.held_out(F.col("doc_id"))).collect()
+    test = [r for r in out if r.out]
+    assert len(test) > 60 and sum(r.lang == r.lang_pred for r in test) >= 0.98 * len(test)
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_edges(spark, docs, none, raw):
+    out = language.identify(docs, language.train(docs)).collect()
+    assert len(out) == len(raw)
+    for r in out:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred != "und") == letters and 0 <= r.score <= 1
+    assert {r.lang_pred for r in language.identify(docs, ()).collect()} == {"und"}
+    assert language.identify(none, language.train(none)).count() == 0
+
+
+def test_greedy_parse_counts_longest_matches():
+    model = language.Model((("x", "abcab"), ("y", "zzz")))
+    x = model.encode("abcabcabq")
+    assert model.phrases([x])[:, 0].tolist() == [3, 9]  # abcab|cab|q against one phrase a character
+
+
+def test_hash_of_items(spark):
+    assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0]
