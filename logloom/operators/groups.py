@@ -64,7 +64,7 @@ def ack_floor(groups: DataFrame, pending: DataFrame) -> DataFrame:
 def consumed_rows(groups: DataFrame, log: DataFrame, limit: int, as_of: str) -> DataFrame:
     """The next ``limit`` live rows of each group from its cursor whose routing key it takes."""
     g = groups.withColumn("group", group_name()).select("queue", "group", "pattern", "cursor")
-    rows = log.join(F.broadcast(g), "queue").filter((F.col("offset") >= F.col("cursor")) & (F.col("expires_at") >= F.lit(as_of).cast("timestamp")))
+    rows = log.join(g, "queue").filter((F.col("offset") >= F.col("cursor")) & (F.col("expires_at") >= F.lit(as_of).cast("timestamp")))
     key = t.routing_key(F.col("topic"), t.queue_topic(F.col("queue")))
     rows = rows.filter(t.routing_key_match(F.col("pattern"), key))
     place = F.row_number().over(Window.partitionBy("queue", "group").orderBy("offset"))

@@ -7,10 +7,11 @@ level instead and checked by pattern.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import topics as t
+from .log import assign_offsets
 
 MAX_LEVELS = 8
 
@@ -92,9 +93,12 @@ def fan_out(publishes: DataFrame, subscriptions: DataFrame, order: list[str]) ->
 
 
 def round_robin(rows: DataFrame, key: list[str], order: list[str], members: Column, name: str) -> DataFrame:
-    """The i-th row of a key gets member i mod n."""
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    return rows.withColumn("_turn", turn).withColumn(name, F.get(members, F.pmod(F.col("_turn"), F.size(members)).cast("int"))).drop("_turn")
+    """The i-th row of a key gets member i mod n; ``order`` is a time and what breaks its ties.
+
+    Turns are counted over ranges of time, so one busy key is not one task.
+    """
+    turned = assign_offsets(rows, key, order[0], order[1:])
+    return turned.withColumn(name, F.get(members, F.pmod(F.col("offset"), F.size(members)).cast("int"))).drop("offset")
 
 
 def best_per_client(matched: DataFrame, key: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = assign_offsets(taken, ["queue"], "created_at", ["seq"])
     ttl = queues(spark).select("queue", "ttl_days")
-    out = out.join(F.broadcast(ttl), "queue")
+    out = out.join(ttl, "queue")
     return out.withColumn("expires_at", F.expr("created_at + make_dt_interval(ttl_days)")).drop("ttl_days")
 
 
@@ -109,7 +109,7 @@ def groups(spark: SparkSession, bounds: DataFrame) -> DataFrame:
 def pending(messages_: DataFrame, groups_: DataFrame) -> DataFrame:
     """Every seventh offset between a work group's committed offset and its cursor is unacknowledged."""
     g = groups_.filter("mode = 'queue'").select("queue", "group_id", "pattern", "cursor", "committed")
-    rows = messages_.select("queue", "offset", "created_at").join(F.broadcast(g), "queue")
+    rows = messages_.select("queue", "offset", "created_at").join(g, "queue")
     rows = rows.filter((F.col("offset") >= F.col("committed")) & (F.col("offset") < F.col("cursor")) & (F.col("offset") % 7 == 0))
     return rows.select(
         "queue",
