@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import log
+from ..session import shared_path
 from ..sources import tables as s
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message log of a data folder, appended to storage once per application and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    rows = s.messages(spark, sf_dir) if key not in _stored else None
+    if rows is not None:
+        path = shared_path(spark, "messages")
+        rows.sortWithinPartitions("queue", "offset").write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
 
 class Base:
     """Lazy tables of one data folder."""
@@ -14,23 +30,23 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
-    @property
+    @cached_property
     def publishes(self) -> DataFrame:
         return s.publishes(self.spark, self.dir)
 
-    @property
+    @cached_property
     def messages(self) -> DataFrame:
-        return s.messages(self.spark, self.dir)
+        return stored_messages(self.spark, self.dir)
 
-    @property
+    @cached_property
     def limits(self) -> DataFrame:
         return log.bounds(self.messages)
 
-    @property
+    @cached_property
     def groups(self) -> DataFrame:
         return s.groups(self.spark, self.limits)
 
-    @property
+    @cached_property
     def pending(self) -> DataFrame:
         return s.pending(self.messages, self.groups)
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import topics as t
 from ..functions import values as v
 from ..operators import admin, groups, log, routing
+from ..session import shared_path
 from ..sources import tables as s
-from ..streaming import state
+from ..streaming import io, state
 from .base import AS_OF, SQL, Base, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,3 +619,180 @@ def topic_match_counts(b: Base):
     filters = s.subscriptions(b.spark).filter(~t.is_shared(F.col("filter"))).select("filter").distinct()
     out = routing.match_filters(b.publishes.select("topic").distinct(), filters, "filter", guard=False)
     return out.groupBy("filter").agg(F.count("*").alias("n"))
+
+
+# the rest of the catalogue, hooks and merges
+
+
+@query("SELECT seq FROM publishes WHERE qos <= 1 AND NOT (client_id = 'u7')")
+def qos_cap_no_local(b: Base):
+    return b.publishes.filter((F.col("qos") <= 1) & (F.col("client_id") != "u7")).select("seq")
+
+
+@query("SELECT seq, CASE WHEN seq % 2 = 0 THEN topic || '/seen' ELSE topic END AS topic FROM publishes WHERE qos < 2")
+def hook_rewrite(b: Base):
+    def decide(pdf):
+        pdf["allowed"] = pdf["qos"] < 2
+        pdf.loc[pdf["seq"] % 2 == 0, "topic"] += "/seen"
+        return pdf
+
+    return admin.apply_hooks(b.publishes.select("seq", "topic", "qos"), decide).select("seq", "topic")
+
+
+GRANTS = [("u1", "x", "events/click/", True), ("u2", "x", "events/view/2", False), ("u3", "y", "events/", True)]
+
+
+@query("SELECT seq FROM publishes WHERE (client_id = 'u1' AND starts_with(topic, 'events/click/')) OR (client_id = 'u2' AND topic = 'events/view/2')")
+def publish_grants(b: Base):
+    grants = b.spark.createDataFrame(GRANTS, "client_id string, exchange string, routing_key string, prefix boolean")
+    rows = b.publishes.select("seq", "client_id", F.lit("x").alias("exchange"), F.col("topic").alias("routing_key"))
+    return admin.authorized(rows, grants).select("seq")
+
+
+CONSUMERS = [("c1", "all", "", "", "n1"), ("c2", "clicks", "x/+", "", "n2"), ("c3", "", "", "events/+/7", "n1"), ("c4", "", "", "", "n3")]
+CONSUMER_TOPICS = [("$queue/all",), ("all",), ("$queue/all/z",), ("$queue/clicks/x/1",), ("$queue/clicks/y",), ("events/view/7",), ("clicks",)]
+
+
+@query(f"""SELECT consumer, topic FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node), {values(CONSUMER_TOPICS)} t(topic)
+WHERE (queue = 'all' AND (topic IN ('all', '$queue/all') OR starts_with(topic, '$queue/all/'))) OR (queue = 'clicks' AND topic = '$queue/clicks/x/1') OR (filter = 'events/+/7' AND topic = 'events/view/7')""")
+def amqp_consumer_match(b: Base):
+    consumers = b.spark.createDataFrame(CONSUMERS, "consumer string, queue string, pattern string, filter string, node string")
+    topics = F.array(*[F.lit(x) for (x,) in CONSUMER_TOPICS])
+    rows = consumers.withColumn("topic", F.explode(topics))
+    return rows.filter(t.consumer_match(F.col("queue"), F.col("pattern"), F.col("filter"), F.col("topic"))).select("consumer", "topic")
+
+
+@query(f"SELECT consumer, node <> 'n1' AS remote FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node)")
+def consumers_by_node(b: Base):
+    consumers = b.spark.createDataFrame(CONSUMERS, "consumer string, queue string, pattern string, filter string, node string")
+    return groups.by_node(consumers, "n1").select("consumer", "remote")
+
+
+@query("""SELECT g.queue, g."group", CASE WHEN g.mode = 'stream' AND g.auto_commit THEN greatest(g.committed, 1000) ELSE g.committed END AS advanced FROM groups g""")
+def stream_acks(b: Base):
+    acks = b.groups.select("queue", groups.group_name().alias("group"), F.explode(F.array(F.lit(3), F.lit(999))).alias("offset"))
+    return groups.seen_offsets(acks, b.groups).select("queue", "group", "advanced")
+
+
+@query("""SELECT queue, "group", mode = 'stream' AND cursor >= 10 AS accepted, CASE WHEN mode = 'stream' AND cursor >= 10 THEN 10 ELSE committed END AS advanced FROM groups""")
+def commit_offsets(b: Base):
+    commits = b.groups.select("queue", groups.group_name().alias("group"), F.lit(10).alias("offset"))
+    return groups.commit_offsets(b.groups, commits).select("queue", "group", "accepted", long("advanced"))
+
+
+@query("""SELECT queue, "group", "offset", max(deliveries) OVER (PARTITION BY queue, "group" ORDER BY "offset") AS high_water FROM pending""")
+def pel_high_water(b: Base):
+    rows = b.pending.select("queue", "group", F.col("offset").alias("seq"), F.col("deliveries").alias("pel_size"))
+    return groups.high_water(rows).select("queue", "group", F.col("seq").alias("offset"), long("high_water"))
+
+
+@query("""SELECT g.queue, g."group" AS stream_group, w.committed AS work_committed FROM groups g LEFT JOIN groups w ON w.queue = g.queue AND w.pattern = g.pattern AND w.group_id = 'workers' AND w.mode = 'queue' WHERE g.mode = 'stream'""")
+def primary_group_progress(b: Base):
+    return groups.primary_progress(b.groups, "workers").select("queue", groups.group_name().alias("stream_group"), "work_committed")
+
+
+@query("""SELECT queue, ttl_days FROM queues WHERE queue <> 'clicks' UNION ALL SELECT 'clicks', 99 UNION ALL SELECT 'extra', 1""")
+def queue_upsert(b: Base):
+    changes = b.spark.createDataFrame([("clicks", 99), ("extra", 1)], "queue string, ttl_days int")
+    return admin.upsert(s.queues(b.spark).select("queue", "ttl_days"), changes, "queue")
+
+
+@query("SELECT queue FROM queues WHERE queue <> 'clicks'")
+def queue_delete(b: Base):
+    return admin.delete_queue(admin.delete_queue(s.queues(b.spark), "clicks"), "system").select("queue")
+
+
+CONFIGS = [("a", ["x/#"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "stream"), ("b", ["x"], 0, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, ""), ("c", ["x"], 1, 1, 1, 1, 1, 0, 5, 4, 1.0, True, 0, False, ""),
+           ("d", ["x"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, False, 0, False, ""), ("e", [], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, ""), ("f", ["x"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "odd"), ("g", ["a/#/b"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "")]
+CONFIG_FIELDS = "name string, topics array<string>, max_message_size int, max_depth int, delivery_timeout int, batch_size int, heartbeat_timeout int, max_retries int, initial_backoff int, max_backoff int, backoff_multiplier double, durable boolean, expires_after int, reserved boolean, type string"
+
+
+@query("SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false), ('d', false), ('e', false), ('f', false), ('g', false)) t(name, valid)")
+def queue_config_valid(b: Base):
+    rows = b.spark.createDataFrame(CONFIGS, CONFIG_FIELDS)
+    ok = admin.valid_queue_config({c: F.col(c) for c in rows.columns}) & t.valid_topic_filters(F.col("topics"))
+    return rows.select("name", ok.alias("valid"))
+
+
+@query("""SELECT client_id, qos FROM (SELECT client_id, CAST(max(qos) AS BIGINT) AS qos FROM subscriptions WHERE filter = '#' GROUP BY client_id) UNION ALL
+SELECT DISTINCT client_id, CAST(0 AS BIGINT) FROM subscriptions WHERE client_id NOT IN (SELECT client_id FROM subscriptions WHERE filter = '#')""")
+def client_union(b: Base):
+    subs = s.subscriptions(b.spark)
+    first = admin.subscription_clients(subs, "#").select("client_id", long("qos"))
+    second = subs.select("client_id", F.lit(0).cast("bigint").alias("qos")).distinct()
+    return admin.missing_clients(first, second)
+
+
+@query("""SELECT node, client_id FROM sessions WHERE node < 5 ORDER BY client_id, node""")
+def sessions_across_nodes(b: Base):
+    return s.sessions(b.spark, b.dir).filter("node < 5").select(F.col("node").cast("int").alias("node"), "client_id").orderBy("client_id", "node")
+
+
+@query("""SELECT seq, message_id, state, k FROM (SELECT seq, 'm' || seq AS message_id, 'queued' AS state, CAST(qos AS VARCHAR) AS k FROM publishes)""")
+def log_decode(b: Base):
+    text = lambda c: F.encode(c, "UTF-8")
+    headers = F.create_map(F.lit("_id"), text(F.concat(F.lit("m"), F.col("seq").cast("string"))), F.lit("topic"), text(F.col("topic")), F.lit("k"), text(F.col("qos").cast("string")))
+    out = log.decode_log_headers(b.publishes.select("seq", "topic", "qos", headers.alias("headers")))
+    return out.select("seq", "message_id", "state", F.col("properties")["k"].alias("k"))
+
+
+@query("""SELECT consumer, CASE consumer WHEN '' THEN 2166136261 WHEN 'a' THEN 3826002220 WHEN 'foobar' THEN 3214735720 END AS hash, CASE consumer WHEN '' THEN 2166136261 % 16 WHEN 'a' THEN 3826002220 % 16 ELSE 3214735720 % 16 END AS shard
+FROM (VALUES (''), ('a'), ('foobar')) t(consumer)""")
+def consumer_shards(b: Base):
+    rows = b.spark.createDataFrame([("",), ("a",), ("foobar",)], "consumer string")
+    return rows.select("consumer", v.fnv1a_32(F.col("consumer")).alias("hash"), v.consumer_shard(F.col("consumer"), 16).cast("bigint").alias("shard"))
+
+
+@query("""SELECT queue, CAST(sum(strlen(payload) + strlen(topic) + 200) AS BIGINT) AS bytes FROM messages GROUP BY queue""")
+def queue_sizes(b: Base):
+    return b.messages.groupBy("queue").agg(F.sum(_size()).alias("bytes"))
+
+
+@query("""SELECT qos, count(*) AS n, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM publishes GROUP BY qos""")
+def received_by_qos(b: Base):
+    return b.publishes.groupBy("qos").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+@query("""SELECT connected, n FROM (SELECT count(*) FILTER (connected) AS connected, count(*) AS n FROM sessions)""")
+def overview(b: Base):
+    return s.sessions(b.spark, b.dir).agg(F.count_if("connected").alias("connected"), F.count("*").alias("n"))
+
+
+@query(FAN + """SELECT client_id, received, expected, received / expected AS ratio FROM (SELECT subscriber AS client_id, count(DISTINCT seq) AS received, count(*) AS expected FROM deliveries GROUP BY subscriber)""")
+def delivery_ratio(b: Base):
+    out = _fan(b).groupBy(F.col("subscriber").alias("client_id")).agg(F.count_distinct("seq").alias("received"), F.count("*").alias("expected"))
+    return out.withColumn("ratio", v.delivery_ratio(F.col("received"), F.col("expected")))
+
+
+@query("""SELECT queue, 0 AS kept, n AS purged FROM limits WHERE queue = 'errors'""")
+def purge(b: Base):
+    own = b.limits.filter("queue = 'errors'")
+    log_rows = b.messages.filter("queue = 'errors'")
+    left = log.truncate(log_rows, own.select("queue", "tail", F.col("tail").alias("keep_from"))).groupBy("queue").agg(F.count("*").alias("k"))
+    return own.join(left, "queue", "left").select("queue", F.coalesce("k", F.lit(0)).cast("int").alias("kept"), F.col("n").alias("purged"))
+
+
+@query()
+def group_machine(b: Base):
+    """Every publish to the click queue is appended; every fourth is followed by a claim, every eighth by an acknowledgement."""
+    rows = b.messages.filter("queue = 'clicks'")
+    at = (F.unix_micros("created_at") / 1e6).alias("at")
+    op = lambda k, name, when, offset, limit: F.when(when, F.struct((F.col("offset") * 4 + k).alias("seq"), F.lit(name).alias("op"), offset.cast("bigint").alias("offset"), limit.cast("bigint").alias("limit")))
+    none = F.lit(None)
+    ops = F.array(op(0, "append", F.lit(True), F.col("offset"), none), op(1, "claim", F.col("offset") % 4 == 3, none, F.lit(4)), op(2, "ack", F.col("offset") % 8 == 7, F.col("offset") - 4, none))
+    out = rows.select("queue", at, "offset", F.explode(F.filter(ops, lambda x: x.isNotNull())).alias("o"))
+    consumer = F.concat(F.lit("c"), (F.col("o.offset") % 2).cast("string"))
+    return state.run_groups(
+        out.select("queue", F.lit("workers").alias("group"), "o.seq", "o.op", "o.offset", F.coalesce(consumer, F.lit("c1")).alias("consumer"), "at", F.lit(None).cast("double").alias("expires_at"), "o.limit")
+    )
+
+
+@query("SELECT event_type AS queue, count(*) AS n, count(*) AS distinct_offsets, count(*) - 1 AS last FROM events GROUP BY event_type")
+def streamed_offsets(b: Base):
+    """The events followed as a stream, numbered by stateful tasks and appended batch by batch."""
+    b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    static = b.spark.read.parquet(f"{b.dir}/events.parquet")
+    rows = io.follow(b.spark, f"{b.dir}/events.parquet*", static.schema).select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"))
+    out = shared_path(b.spark, "streamed-offsets")
+    io.append_stream(state.stream_offsets(rows), out, shared_path(b.spark, "stream-checkpoint")).awaitTermination()
+    return b.spark.read.parquet(out).groupBy("queue").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("distinct_offsets"), F.max("offset").alias("last"))

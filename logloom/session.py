@@ -1,9 +1,10 @@
-"""Making this package importable in Python workers."""
+"""Sessions: making this package importable in Python workers, and the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,3 +32,24 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, f"{root.name}/{path.relative_to(root)}")
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors reach: spark.checkpoint.dir.
+
+    Only where that setting is missing (a local test session) a temporary
+    folder is made, once per session.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
+        own = spark.sparkContext.getCheckpointDir()
+    return own.rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -7,15 +7,20 @@ stateful stream (transformWithStateInPandas), so both give the same answer.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ship
 
+# a stateful processor is also unpickled by a worker of the driver, which gets no shipped files
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def replay(ops: DataFrame) -> DataFrame:
     """Pending entries after deliver, ack, nack, claim operations: (queue, group, offset, consumer, deliveries, last_attempt).
