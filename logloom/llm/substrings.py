@@ -36,6 +36,9 @@ FILTER_BITS = 26
 #: Window starts handled at once, and snippet bytes of a block (one anchor at least).
 SLICE = 4 << 20
 BLOCK_BYTES = 2 << 20
+#: Different snippets of one anchor that a task compares; those of busier anchors are
+#: compared window by window in a shuffle.
+ANCHOR_ROWS = 20_000
 #: Mean snippet bytes of a shuffle partition.
 PARTITION_BYTES = 16 << 20
 
@@ -217,12 +220,20 @@ def repeated_starts(group: np.ndarray, count: np.ndarray, off: np.ndarray, snipp
     return first_hit, last_hit
 
 
-def expand_blocks(snippets: DataFrame, least: int) -> DataFrame:
-    """(h, s, start, end): the bytes of each snippet that repeated windows cover.
+def expand_blocks(snippets: DataFrame, least: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """(h, s, start, end, w1, w2, n): ranges of repeated bytes, and windows left to compare.
 
-    Windows of a snippet start within less than ``least`` bytes, so these bytes are
-    one range. Rows arrive in order of h; blocks are cut between anchors.
+    Where w1 is null the row is a result: the bytes of a snippet that repeated windows
+    cover. Windows of a snippet start within less than ``least`` bytes, so these bytes
+    are one range. Other rows are single windows, hashed to 128 bits, of anchors with
+    more than ``anchor_rows`` snippets. Rows arrive in order of h; blocks are cut
+    between anchors, and a task never holds more than that many rows of one anchor.
     """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["h", "s", "start", "end", "w1", "w2", "n"]
+
+    def as_batch(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def block(rows):
         h = np.array([r[0] for r in rows], np.int64)
@@ -232,24 +243,51 @@ def expand_blocks(snippets: DataFrame, least: int) -> DataFrame:
         )
         hit = np.flatnonzero(first >= 0)
         s = np.array([r[1] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[hit]), pa.array(s[hit]), pa.array(first[hit].astype(np.int32)), pa.array((last[hit] + least).astype(np.int32))],
-            names=["h", "s", "start", "end"],
-        )
+        none = [None] * len(hit)
+        return as_batch([h[hit], s[hit], first[hit], last[hit] + least, none, none, none])
+
+    def windows(rows):
+        out = []
+        for h, s, n, _, snippet in rows:
+            for at in range(len(snippet) - least + 1):
+                w = xxhash.xxh3_128_intdigest(snippet[at : at + least])
+                out.append((h, s, at, at + least, (w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63, n))
+        return as_batch(list(zip(*out, strict=True)))
 
     def run(batches):
-        rows, size = [], 0
+        rows, own, size = [], 0, 0  # own: rows of the last anchor
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size >= BLOCK_BYTES and r[0] != rows[-1][0]:
-                    yield block(rows)
-                    rows, size = [], 0
+                if own and r[0] == last:
+                    own += 1
+                    if own > anchor_rows:  # a busy anchor
+                        busy = [x for x in rows if x[0] == last]
+                        for i in range(0, len(busy), 500):
+                            yield windows(busy[i : i + 500])
+                        yield windows([r])
+                        rows = rows[: len(rows) - len(busy)]
+                        continue
+                else:
+                    if size >= BLOCK_BYTES and rows:
+                        yield block(rows)
+                        rows, size = [], 0
+                    last, own = r[0], 1
                 rows.append(r)
                 size += len(r[4])
         if rows:
             yield block(rows)
 
-    return snippets.select("h", "s", "n", "off", "snippet").mapInArrow(run, "h bigint, s bigint, start int, end int")
+    schema = "h bigint, s bigint, start int, end int, w1 bigint, w2 bigint, n bigint"
+    return snippets.select("h", "s", "n", "off", "snippet").mapInArrow(run, schema)
+
+
+def settled(expanded: DataFrame) -> DataFrame:
+    """(h, s, start, end) of all anchors: results as they are, windows compared by their hashes."""
+    done = expanded.filter("w1 is null").select("h", "s", "start", "end")
+    left = expanded.filter("w1 is not null")
+    twice = left.groupBy("h", "w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").drop("_n")
+    found = left.join(twice, ["h", "w1", "w2"], "left_semi")
+    return done.unionByName(found.groupBy("h", "s").agg(F.min("start").alias("start"), F.max("end").alias("end")))
 
 
 def snippet_places(texts: DataFrame, bits_path: str, least: int) -> DataFrame:
@@ -273,7 +311,9 @@ def snippet_places(texts: DataFrame, bits_path: str, least: int) -> DataFrame:
     return texts.select("t1", "t2", "text").mapInArrow(run, "t1 bigint, t2 bigint, h bigint, s bigint, at bigint")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, anchor_rows: int = ANCHOR_ROWS
+) -> DataFrame:
     """id, n_bytes, n_removed, spans (maximal removed byte ranges) and kept (bytes) of every row.
 
     Texts are UTF-8 bytes; matches never cross rows; strings are judged on the input.
@@ -298,8 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.sum("n").alias("n"), F.first("off").alias("off"), F.first("snippet").alias("snippet"))
         .sortWithinPartitions("h")
     )
-    covered = written(expand_blocks(together, least), "repeated-ranges")
-    places = snippet_places(texts, bits, least).join(covered, ["h", "s"])
+    covered = written(expand_blocks(together, least, anchor_rows), "repeated-ranges")
+    places = snippet_places(texts, bits, least).join(settled(covered), ["h", "s"])
     ranges = places.select("t1", "t2", (F.col("at") + F.col("start")).alias("a"), (F.col("at") + F.col("end")).alias("b"))
     ranges = ranges.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))
     ranges = written(ranges, "repeated-spans")

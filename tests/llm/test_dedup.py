@@ -113,10 +113,10 @@ def removed(texts, least):
     return out
 
 
-@pytest.mark.parametrize("least", [40, 200])
-def test_substrings_equal_brute_force(docs, raw, least, monkeypatch):
+@pytest.mark.parametrize("least, anchor_rows", [(40, 20_000), (200, 20_000), (200, 1), (200, 3)])
+def test_substrings_equal_brute_force(docs, raw, least, anchor_rows):
     want = collections.Counter((str(r[0]), *x) for r, x in zip(raw, removed([r[1] for r in raw], least)))
-    out = substrings.remove_repeats(docs, least=least).collect()
+    out = substrings.remove_repeats(docs, least=least, anchor_rows=anchor_rows).collect()
     assert collections.Counter((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in out) == want
 
 
