@@ -6,8 +6,8 @@ chi-squared test of the uniform use of the alphabet, a runs test (symbols above
 below the middle of the alphabet) and a serial-correlation test. The three p-values
 are combined by Fisher's method. A random token's p is uniform, that of a word or an
 identifier is near 0, so tokens with a high p are reported: in each class of encoding
-and length the number of random tokens is estimated from the upper half of the
-p-values, and the cut is the lowest at which the estimated share of non-random tokens
+and length the number of random tokens is estimated from the p-values of UPPER_P and
+more, and the cut is the lowest at which the estimated share of non-random tokens
 among those reported stays within FALSE_DISCOVERY. Short classes, where words pass as
 random, get a high cut or none at all.
 """
@@ -40,6 +40,8 @@ ALPHABETS = {
 }
 FALSE_DISCOVERY = 0.1
 BINS = 50
+#: p-values from here on are taken for those of random tokens, in the estimate of their number.
+UPPER_P = 0.1
 
 
 def _spans(text: Column, pattern: str, kind: str, order: int) -> Column:
@@ -186,8 +188,8 @@ def cuts(tested: DataFrame, share: float = FALSE_DISCOVERY, bins: int = BINS) ->
     )
     each = Window.partitionBy("encoding", "size_class")
     above = each.orderBy(F.desc("bin"))
-    upper = F.sum(F.when(F.col("bin") >= bins // 2, F.col("k")).otherwise(0)).over(each)
-    random = F.least(2 * upper, F.sum("k").over(each))
+    upper = F.sum(F.when(F.col("bin") >= round(bins * UPPER_P), F.col("k")).otherwise(0)).over(each)
+    random = F.least(upper / (1 - UPPER_P), F.sum("k").over(each).cast("double"))
     table_ = counts.select("encoding", "size_class", "bin", F.sum("k").over(above).alias("reported"), random.alias("random"))
     false_share = 1 - F.col("random") * (1 - F.col("bin") / bins) / F.col("reported")
     return (
