@@ -48,6 +48,11 @@ def _mix(h: np.ndarray, level: int) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _joint(h: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of the pair h[:, 0], h[:, 1], in a way of their own for each seed."""
+    return h[:, 0] ^ (h[:, 1] * np.uint64((0x9E3779B97F4A7C15 + 2 * seed) % 2**64))
+
+
 class PerfectHash:
     """Minimal perfect hash by levels of bit arrays: a key sits at the first level where it has a bit alone."""
 
@@ -86,15 +91,21 @@ class PerfectHash:
         return out
 
 
-def pack(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> tuple[list[int], bytes, bytes, bytes, bytes]:
+def pack(hashes: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> tuple[int, list[int], bytes, bytes, bytes, bytes]:
+    """seed, level sizes, bits, fingerprints, counts and keepers of distinct hashes [line, 2].
+
+    The seed is the first for which 64 bits tell the shard's lines apart.
+    """
+    seed = next(k for k in range(1000) if len(np.unique(_joint(hashes, k))) == len(hashes))
+    keys = _joint(hashes, seed)
     mph = PerfectHash.build(keys)
     at = mph.index(keys)
     arrays = []
-    for values in (prints.astype(np.uint64), np.minimum(counts, 2**31 - 1).astype(np.int32), keepers.astype(np.int64)):
+    for values in (hashes[:, 1], np.minimum(counts, 2**31 - 1).astype(np.int32), keepers.astype(np.int64)):
         placed = np.empty_like(values)
         placed[at] = values
         arrays.append(placed.tobytes())
-    return mph.sizes, mph.bits.tobytes(), *arrays
+    return seed, mph.sizes, mph.bits.tobytes(), *arrays
 
 
 class Shards:
@@ -121,6 +132,7 @@ class Shards:
                     PerfectHash(r["sizes"], np.frombuffer(r["bits"], np.uint8)),
                     np.frombuffer(r["prints"], np.uint64),
                     np.frombuffer(r["keepers"], np.int64),
+                    r["seed"],
                 )
             cost = 0 if one is None else 10 * len(one[0].flat) + 16 * len(one[1])
             self.held[shard] = (one, cost)
@@ -140,8 +152,8 @@ class Shards:
             one = self.get(int(s))
             if one is None:
                 continue
-            mph, prints, keepers = one
-            at = mph.index(hashes[rows, 0])
+            mph, prints, keepers, seed = one
+            at = mph.index(_joint(hashes[rows], seed))
             ok = at >= 0
             ok[ok] = prints[at[ok]] == hashes[rows[ok], 1]
             found[rows[ok]] = True
@@ -186,21 +198,15 @@ def build_shards(repeated: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str
     repeated.write.parquet(path)
     repeated = spark.read.parquet(path)
     shards = max(1, -(-repeated.count() // shard_keys))
-    # h1 alone indexes the arrays: one row for each h1, the rare second print of an h1 is an error
     shard = F.expr(f"cast(pmod(h1 % {shards} + if(h1 < 0, {2**64 % shards}, 0), {shards}) as int)")
 
     def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h1 = pdf["h1"].to_numpy(np.int64).view(np.uint64)
-        if len(np.unique(h1)) != len(h1):
-            raise ValueError("two repeated lines share 64 bits of their hash; use more bits")
-        sizes, bits, prints, counts, keepers = pack(
-            h1, pdf["h2"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), pdf["keeper"].to_numpy()
-        )
-        row = [int(key[0]), sizes, bits, prints, counts, keepers]
-        return pd.DataFrame([row], columns=["shard", "sizes", "bits", "prints", "counts", "keepers"])
+        h = pdf[["h1", "h2"]].to_numpy(np.int64).view(np.uint64)
+        row = [int(key[0]), *pack(h, pdf["n"].to_numpy(), pdf["keeper"].to_numpy())]
+        return pd.DataFrame([row], columns=["shard", "seed", "sizes", "bits", "prints", "counts", "keepers"])
 
     out = shared_path(spark, "line-shards")
-    schema = "shard int, sizes array<bigint>, bits binary, prints binary, counts binary, keepers binary"
+    schema = "shard int, seed int, sizes array<bigint>, bits binary, prints binary, counts binary, keepers binary"
     repeated.withColumn("_shard", shard).groupBy("_shard").applyInPandas(make, schema).write.parquet(out)
     return out, shards
 

@@ -155,3 +155,12 @@ def test_perfect_hash_is_minimal():
     mph = lines.PerfectHash.build(keys)
     assert sorted(mph.index(keys)) == list(range(len(keys)))
     assert lines.PerfectHash.build(keys[:0]).index(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_lines_that_share_half_their_hash_are_told_apart():
+    h = np.array([[5, 1], [5, 3], [5, 7], [9, 11]], np.uint64)
+    seed, sizes, bits, prints, counts, keepers = lines.pack(h, np.arange(4), np.arange(4) + 10)
+    mph = lines.PerfectHash(sizes, np.frombuffer(bits, np.uint8))
+    at = mph.index(lines._joint(h, seed))
+    assert sorted(at) == [0, 1, 2, 3]
+    assert np.frombuffer(keepers, np.int64)[at].tolist() == [10, 11, 12, 13]
