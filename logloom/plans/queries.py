@@ -796,3 +796,53 @@ def streamed_offsets(b: Base):
     out = shared_path(b.spark, "streamed-offsets")
     io.append_stream(state.stream_offsets(rows), out, shared_path(b.spark, "stream-checkpoint")).awaitTermination()
     return b.spark.read.parquet(out).groupBy("queue").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("distinct_offsets"), F.max("offset").alias("last"))
+
+
+@query("SELECT filter, CAST(qos AS BIGINT) AS qos FROM subscriptions WHERE client_id = 'u1'")
+def subscriptions_of_client(b: Base):
+    return s.subscriptions(b.spark).filter("client_id = 'u1'").select("filter", long("qos"))
+
+
+@query("SELECT client_id FROM subscriptions WHERE filter = 'events/#'")
+def subscriptions_of_filter(b: Base):
+    return s.subscriptions(b.spark).filter("filter = 'events/#'").select("client_id")
+
+
+@query(f"""SELECT n.node, coalesce(m, 0) + coalesce(a, 0) AS active FROM (SELECT DISTINCT CAST(node AS BIGINT) AS node FROM sessions) n
+LEFT JOIN (SELECT node, count(*) AS m FROM sessions WHERE connected GROUP BY node) USING (node)
+LEFT JOIN (SELECT CAST(substr(node, 2) AS INT) AS node, count(*) AS a FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node) GROUP BY 1) USING (node)""")
+def node_overview(b: Base):
+    own = s.sessions(b.spark, b.dir).withColumn("node", long("node"))
+    amqp = b.spark.createDataFrame(CONSUMERS, "consumer string, queue string, pattern string, filter string, node string")
+    amqp = amqp.groupBy(F.substring("node", 2, 9).cast("bigint").alias("node")).agg(F.count("*").alias("a"))
+    out = own.groupBy("node").agg(F.count_if("connected").alias("m")).join(amqp, "node", "left")
+    return out.select("node", (F.col("m") + F.coalesce("a", F.lit(0))).alias("active"))
+
+
+@query("""SELECT "group", "offset", consumer FROM pending WHERE queue = 'clicks' AND consumer = 'c0'""")
+def pending_of_consumer(b: Base):
+    return b.pending.filter("queue = 'clicks' and consumer = 'c0'").select("group", "offset", "consumer")
+
+
+@query("SELECT DISTINCT topic, seq FROM publishes WHERE topic LIKE 'events/%/7' OR topic LIKE 'events/error/%'")
+def consumer_filter_set(b: Base):
+    filters = F.array(F.lit("+/7"), F.lit("error/#"))
+    key = t.routing_key(F.col("topic"), "events")
+    return b.publishes.filter(t.any_filter_matches(filters, key)).select("topic", "seq")
+
+
+@query("""SELECT DISTINCT topic, '$queue/events/' || substr(topic, 8) AS address, 'events' AS name, substr(topic, 8) AS pattern, 'events@' || substr(topic, 8) AS grp FROM publishes""")
+def queue_addresses(b: Base):
+    rows = b.publishes.select("topic").distinct().withColumn("address", t.queue_topic("events", t.routing_key(F.col("topic"), "events")))
+    parts = t.parse_queue_filter(F.col("address"))
+    return rows.select("topic", "address", parts["queue"].alias("name"), parts["pattern"].alias("pattern"), t.effective_group(parts["queue"], parts["pattern"]).alias("grp"))
+
+
+@query("SELECT queue, durable, ttl_days FROM queues")
+def management_query(b: Base):
+    return s.queues(b.spark).select("queue", "durable", "ttl_days")
+
+
+@query("""SELECT queue, "group", cursor, committed FROM (SELECT queue, group_id AS "group", head AS cursor, head AS committed FROM limits, (VALUES ('fresh')) t(group_id))""")
+def create_group(b: Base):
+    return b.limits.select("queue", F.lit("fresh").alias("group"), F.col("head").alias("cursor"), F.col("head").alias("committed"))
