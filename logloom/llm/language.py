@@ -179,13 +179,13 @@ def sample(
     rows: int = ROWS_PER_LANGUAGE,
     longest: int = LONGEST_ROW,
 ) -> tuple[tuple[str, str], ...]:
-    """(language, text) from whole texts of up to ``rows`` rows a language, in a hashed order.
+    """(language, text) from up to ``rows`` rows a language, in a hashed order.
 
-    Only rows of 1 to ``longest`` characters serve, so what reaches the driver is
-    bounded by MAX_LANGUAGES * rows * longest. More languages than MAX_LANGUAGES
-    are an error.
+    At most ``longest`` characters of a row serve, so what reaches the driver is bounded
+    by MAX_LANGUAGES * rows * longest. More languages than MAX_LANGUAGES are an error.
+    Rows without text or language are passed over.
     """
-    fit = labelled.filter(F.col(lang_col).isNotNull() & F.char_length(text_col).between(1, longest))
+    fit = labelled.filter(F.col(lang_col).isNotNull() & (F.char_length(text_col) > 0))
     order = F.xxhash64(F.col(id_col).cast("string"))
     ids = (
         fit.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), order.alias("_o"))
@@ -197,7 +197,9 @@ def sample(
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     keys = {(r["_lang"], r["_id"]): r["_n"] for r in found}
     wanted = [r["_id"] for r in found]
-    got = fit.filter(F.col(id_col).isin(wanted)).select(lang_col, id_col, text_col).collect() if wanted else []
+    # an id that repeats serves once, with its least text
+    texts_of = fit.filter(F.col(id_col).isin(wanted)).groupBy(lang_col, id_col).agg(F.min(F.substring(text_col, 1, longest)))
+    got = texts_of.collect() if wanted else []
     texts: dict[str, list] = {}
     for lang, key, text in sorted(got, key=lambda r: keys.get((r[0], r[1]), 0)):
         if (lang, key) in keys:
