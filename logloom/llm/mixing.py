@@ -42,15 +42,40 @@ def shared_targets(sizes: list[int], weights: list[int], share: Fraction = Fract
     return [float(min(cap * s, level * w)) for s, w in zip(sizes, weights, strict=True)]
 
 
-def min_cost_flow(
-    patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 2
-) -> list[dict]:
+def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 2) -> list[dict]:
     """Tokens each pattern sends to each of its sources, at least total cost.
 
-    patterns: (sources, tokens). The k-th copy of a pattern's tokens costs k.
-    Shortest augmenting paths with potentials: the flow is maximal and, among the
-    maximal ones, cheapest.
+    patterns: (sources, tokens). The k-th copy of a pattern's tokens costs k. Sources
+    that no document shares, directly or through others, make networks of their own.
     """
+    root = {s: s for s in quotas}
+
+    def find(s):
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    known = [tuple(s for s in members if s in root) for members, _ in patterns]
+    for members in known:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    parts: dict = {}
+    for p, members in enumerate(known):
+        if members:
+            parts.setdefault(find(members[0]), []).append(p)
+    of: dict = {}
+    for s, quota in quotas.items():
+        of.setdefault(find(s), {})[s] = quota
+    out: list[dict] = [{} for _ in patterns]
+    for key, own in parts.items():
+        for p, f in zip(own, _network_flow([(known[p], patterns[p][1]) for p in own], of[key], repeats), strict=True):
+            out[p] = f
+    return out
+
+
+def _network_flow(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int) -> list[dict]:
+    """Shortest augmenting paths with potentials: the flow is maximal and, among the maximal ones, cheapest."""
     sources = list(quotas)
     at = {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
     size = 2 + len(patterns) + len(sources)

@@ -57,6 +57,9 @@ def test_flow_uses_overlaps_and_spreads_repeats():
     flow = mixing.min_cost_flow(patterns, {"a": 40, "b": 0})
     assert sum(f.get("a", 0) for f in flow) == 40
     assert sum(sum(f.values()) for f in mixing.min_cost_flow(patterns, {"a": 1000, "b": 0})) == 40
+    apart = [((i,), i) for i in range(20_000)]
+    flow = mixing.min_cost_flow([*apart, (("x",), 5)], {i: 1.5 * i for i in range(20_000)})
+    assert [sum(f.values()) for f in flow] == [int(1.5 * i) for i in range(20_000)] + [0]
 
 
 def test_mix_meets_its_targets(docs, none, raw):
