@@ -178,9 +178,17 @@ def auto_create_targets(b: Base):
 
 @query("""SELECT seq, queue FROM (SELECT DISTINCT seq, unnest(['errors', CASE WHEN seq % 2 = 0 THEN 'all' ELSE 'errors' END]) AS queue FROM publishes WHERE seq % 100 = 0)""")
 def forced_targets(b: Base):
-    some = b.publishes.filter("seq % 100 = 0")
+    return _forced(b, b.publishes.filter("seq % 100 = 0"))
+
+
+def _forced(b: Base, publishes: DataFrame) -> DataFrame:
     listed = F.when(F.col("seq") % 2 == 0, "errors, all,nowhere").otherwise("errors,,errors")
-    return routing.forced_targets(some, listed, s.queues(b.spark)).select("seq", "queue")
+    return routing.forced_targets(publishes, listed, s.queues(b.spark)).select("seq", "queue")
+
+
+@query("""SELECT seq, queue FROM (SELECT DISTINCT seq, unnest(['errors', CASE WHEN seq % 2 = 0 THEN 'all' ELSE 'errors' END]) AS queue FROM publishes)""")
+def forced_targets_all(b: Base):
+    return _forced(b, b.publishes)
 
 
 FAN = """, plain AS (SELECT p.seq, s.client_id AS subscriber, s.filter, least(p.qos, s.qos) AS qos, p.retain AND s.retain_as_published AS retain
@@ -209,11 +217,21 @@ def shared_round_robin(b: Base):
 @query("""SELECT p.seq, s.client_id, arg_max(s.filter, s.qos * 1000 + CASE s.filter WHEN 'events/click/+' THEN 2 WHEN 'events/#' THEN 1 ELSE 0 END) AS filter, CAST(max(s.qos) AS BIGINT) AS qos
 FROM publishes p JOIN subscriptions s ON s.client_id = 'u1' AND regexp_full_match(p.topic, replace(replace(s.filter, '+', '[^/]*'), '/#', '(/.*)?')) GROUP BY ALL""")
 def subscription_effective_qos(b: Base):
-    subs = s.subscriptions(b.spark).filter("client_id = 'u1'").select("client_id", "filter", F.col("qos"))
+    return _effective_qos(b, s.subscriptions(b.spark).filter("client_id = 'u1'"))
+
+
+def _effective_qos(b: Base, subscriptions: DataFrame) -> DataFrame:
+    subs = subscriptions.select("client_id", "filter", F.col("qos"))
     matched = routing.match_filters(b.publishes.select("seq", "topic"), subs, "filter")
     return routing.best_per_client(matched, ["seq", "client_id"]).select("seq", "client_id", "filter", long("qos"))
 
 
+@query("""SELECT p.seq, s.client_id, arg_max(s.filter, (s.qos, s.filter)) AS filter, CAST(max(s.qos) AS BIGINT) AS qos FROM publishes p JOIN subscriptions s
+ON NOT starts_with(s.filter, '$share/') AND regexp_full_match(p.topic, CASE WHEN s.filter = '#' THEN '.*' ELSE replace(replace(s.filter, '+', '[^/]*'), '/#', '(/.*)?') END) GROUP BY ALL""")
+def subscription_effective_qos_all(b: Base):
+    return _effective_qos(b, s.subscriptions(b.spark))
+
+
 EXCHANGES = [("fan", "fanout"), ("dir", "direct"), ("top", "topic")]
 EX_BINDINGS = [("fan", "x", "q_all"), ("dir", "events/click/7", "q_seven"), ("top", "events/+/7", "q_top"), ("top", "events/error/#", "q_err"), ("", "events/view/3", "q_three")]
 
@@ -345,21 +363,41 @@ def duration_argument(b: Base):
 
 @query("""SELECT queue, "offset", queue || ':' || "offset" AS message_id, CAST("offset" AS VARCHAR) AS at, topic AS source, "offset" AS parsed FROM messages WHERE "offset" % 50 = 0""")
 def delivery_properties(b: Base):
-    rows = b.messages.filter("offset % 50 = 0")
+    return _stamped_delivery(b.messages.filter("offset % 50 = 0"))
+
+
+def _stamped_delivery(rows: DataFrame) -> DataFrame:
     p = v.delivery_properties(F.create_map(F.lit("message-id"), F.lit("forged")), F.lit("g"), F.col("queue"), F.col("offset"), F.col("topic"))
     rows = rows.select("queue", "offset", p.alias("p"))
     at = lambda k: F.element_at("p", k)
     return rows.select("queue", "offset", at("message-id").alias("message_id"), at("offset").alias("at"), at("x-source-topic").alias("source"), t.parse_message_id(at("message-id")).alias("parsed"))
 
 
+@query("""SELECT queue, "offset", queue || ':' || "offset" AS message_id, CAST("offset" AS VARCHAR) AS at, topic AS source, "offset" AS parsed FROM messages""")
+def delivery_properties_all(b: Base):
+    return _stamped_delivery(b.messages)
+
+
 @query("""SELECT m."offset", CAST(epoch_us(m.created_at) // 1000 AS VARCHAR) AS stamp, CAST(g.committed AS VARCHAR) AS work_committed, CASE WHEN m."offset" < g.committed THEN 'true' ELSE 'false' END AS acked
 FROM messages m JOIN groups g ON g.queue = m.queue AND g.group_id = 'workers' AND g.pattern = '' WHERE m.queue = 'all' AND m."offset" % 25 = 0""")
 def stream_decorate(b: Base):
-    progress = groups.primary_progress(b.groups, "workers").select("queue", "work_committed")
-    rows = b.messages.filter("queue = 'all' and offset % 25 = 0").join(progress, "queue")
+    rows = b.messages.filter("queue = 'all' and offset % 25 = 0")
+    return _decorated(b, rows).select("offset", "stamp", "work_committed", "acked")
+
+
+def _decorated(b: Base, rows: DataFrame) -> DataFrame:
+    progress = groups.primary_progress(b.groups, "workers").select("queue", "group_id", "work_committed")
+    rows = rows.join(progress, "queue")
     none = F.lit(None).cast("map<string,string>")
     p = v.stream_properties(none, F.col("offset"), F.col("created_at"), F.col("work_committed"), F.lit("workers"))
-    return rows.select("offset", p["x-stream-timestamp"].alias("stamp"), p["x-work-committed-offset"].alias("work_committed"), p["x-work-acked"].alias("acked"))
+    return rows.select("queue", "group_id", "offset", p["x-stream-timestamp"].alias("stamp"), p["x-work-committed-offset"].alias("work_committed"), p["x-work-acked"].alias("acked"))
+
+
+@query("""SELECT m.queue, a.group_id, m."offset", CAST(epoch_us(m.created_at) // 1000 AS VARCHAR) AS stamp, CAST(g.committed AS VARCHAR) AS work_committed,
+CASE WHEN m."offset" < g.committed THEN 'true' WHEN m."offset" >= g.committed THEN 'false' END AS acked
+FROM messages m JOIN groups a ON a.queue = m.queue AND a.mode = 'stream' LEFT JOIN groups g ON g.queue = a.queue AND g.pattern = a.pattern AND g.mode = 'queue' AND g.group_id = 'workers'""")
+def stream_decorate_all(b: Base):
+    return _decorated(b, b.messages)
 
 
 @query("""SELECT DISTINCT client_id, CASE version WHEN 3 THEN 'mqtt3.1' WHEN 4 THEN 'mqtt3.1.1' WHEN 5 THEN 'mqtt5' ELSE 'unknown' END AS label FROM sessions""")

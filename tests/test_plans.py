@@ -33,3 +33,18 @@ def test_reads_are_pushed_to_the_scan(spark):
     assert "EqualTo(queue,all)" in pushed and "GreaterThanOrEqual(offset,10)" in pushed and "LessThan" in pushed
     assert "payload" not in text[text.index("ReadSchema") :].splitlines()[0]
     assert "TakeOrderedAndProject" in text
+
+
+@pytest.mark.parametrize("name", ["forced_targets", "delivery_properties", "stream_decorate", "subscription_effective_qos"])
+def test_whole_tables_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = con.sql(queries.ORACLE_SQL[f"{name}_all"])
+    some = queries.QUERIES[name](spark, DATA)
+    out = queries.QUERIES[f"{name}_all"](spark, DATA).select(*want.columns)
+    got = sorted(map(str, map(tuple, out.collect())))
+    assert got == sorted(map(str, want.fetchall()))
+    assert len(got) > some.count() and some.exceptAll(out.select(*some.columns)).count() == 0
