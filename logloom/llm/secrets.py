@@ -10,6 +10,9 @@ and length the number of random tokens is estimated from the p-values of UPPER_P
 more, and the cut is the lowest at which the estimated share of non-random tokens
 among those reported stays within FALSE_DISCOVERY. Short classes, where words pass as
 random, get a high cut or none at all.
+
+A token that is not reported as a whole, or is of mixed alphabets, is tested again by
+its parts between slashes, plus, minus and underscore signs, with cuts of their own.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGNED = 6
 
-#: Tokens that are tested, and their classes.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: Tokens that are tested, and their classes. An equals sign separates, or pads the end.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"
+#: Parts of a token that are tested where the whole isn't reported: runs of these characters.
+PARTS = ("A-Za-z0-9+_-", "A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")
 LENGTHS = (20, 24, 32, 40, 64, 128)
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -199,6 +204,28 @@ def cuts(tested: DataFrame, share: float = FALSE_DISCOVERY, bins: int = BINS) ->
     )
 
 
+def _reported(tested: DataFrame) -> DataFrame:
+    """The rows whose p reaches the cut of their class."""
+    # one row for each class of encoding and length at most
+    return tested.join(F.broadcast(cuts(tested)), ["encoding", "size_class"]).filter("p >= cut")
+
+
+def _parts(tokens: DataFrame) -> DataFrame:
+    """The parts of tokens (_row, start, end, token, ...), with ``whole``, the token's start."""
+    rows = tokens.filter(F.col("token").rlike("[+/_-]"))
+    runs = F.array_distinct(F.concat(*[_spans(F.col("token"), f"[{c}]{{20,}}={{0,2}}", "random", 3) for c in PARTS]))
+    rows = rows.select("_row", F.col("start").alias("whole"), F.char_length("token").alias("_n"), F.explode(runs).alias("_s"))
+    rows = rows.filter(F.col("_s.end") - F.col("_s.start") < F.col("_n"))
+    at = lambda c: (F.col("whole") + F.col(f"_s.{c}")).alias(c)
+    return rows.select("_row", "whole", at("start"), "_s.order", at("end"), "_s.kind", F.col("_s.match").alias("token"))
+
+
+def _outermost(parts: DataFrame) -> DataFrame:
+    """Without the parts that lie in another one."""
+    before = Window.partitionBy("_row", "whole").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_reach", F.max("end").over(before)).filter("_reach is null or _reach < end").drop("_reach")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base and spans of every row: arrays of (start, order, end, kind), in report order.
 
@@ -222,14 +249,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _spans(text, TOKEN, "random", 3).alias("tokens"),
     )
     found = written(found, "secret-candidates")
-    free = F.filter(
-        "tokens", lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))
-    )
-    tokens = found.select("_row", F.explode(free).alias("_s")).select("_row", "_s.start", "_s.order", "_s.end", "_s.kind", F.col("_s.match").alias("token"))
-    tested = test_tokens(tokens).filter("p is not null").withColumn("size_class", _class(F.col("n")))
+    hit = lambda t: F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))
+    each = found.select("_row", F.explode(F.transform("tokens", lambda t: F.struct(t.alias("s"), hit(t).alias("hit")))).alias("_s"))
+    each = each.select("_row", "_s.hit", "_s.s.start", "_s.s.order", "_s.s.end", "_s.s.kind", F.col("_s.s.match").alias("token"))
+    tested = test_tokens(each.filter("not hit").drop("hit")).withColumn("size_class", _class(F.col("n")))
     tested = written(tested, "secret-tokens")
-    # one row for each class of encoding and length at most
-    chosen = tested.join(F.broadcast(cuts(tested)), ["encoding", "size_class"]).filter("p >= cut")
+    chosen = _reported(tested.filter("p is not null"))
+    rest = _parts(tested.join(chosen.select("_row", "start"), ["_row", "start"], "left_anti"))
+    # parts beside a base finding in the same token
+    beside = _parts(each.filter("hit")).alias("t")
+    base = found.select("_row", F.explode("base").alias("b"))
+    over = (F.col("t._row") == base["_row"]) & (F.col("b.start") < F.col("t.end")) & (F.col("t.start") < F.col("b.end"))
+    parts = test_tokens(rest.unionByName(beside.join(base, over, "left_anti"))).filter("p is not null")
+    parts = written(parts.withColumn("size_class", _class(F.col("n"))), "secret-parts")
+    span = ["_row", "start", "order", "end", "kind"]
+    chosen = chosen.select(*span).unionByName(_outermost(_reported(parts)).select(*span))
     added = chosen.groupBy("_row").agg(F.collect_list(F.struct("start", "order", "end", "kind")).alias("added"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     return found.join(added, "_row", "left").select(
