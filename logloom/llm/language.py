@@ -10,7 +10,6 @@ table step moves every segment on by one character in every language.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,13 +28,14 @@ ROWS_PER_LANGUAGE = 128
 CHARS_PER_LANGUAGE = 32_768
 LONGEST_ROW = 20_000
 MAX_LANGUAGES = 64
-MAX_SYMBOLS = 96
+#: States times symbols of an automaton up to which its transitions are a dense table.
+DENSE = 1 << 23
 #: Characters parsed at once in a task.
 BATCH_CHARS = 4_000_000
 
 
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1: none, 0: root."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions {symbol: state} of each state of the automaton of all substrings; state 0 is the root."""
     go, link, length = [{}], [-1], [0]
     last = 0
     for c in codes:
@@ -61,11 +61,44 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(go), symbols), -1, np.int32)
-    for state, moves in enumerate(go):
-        for c, to in moves.items():
-            out[state, c] = to
-    return out
+    return go
+
+
+class Moves:
+    """Transitions of one automaton, its states counted from 1; 0 is the dead state.
+
+    Symbols are dealt an alphabet of the automaton's own. Small automata are a dense
+    table; those of large alphabets keep the root's row and a sorted array of
+    state * symbol keys for all others.
+    """
+
+    def __init__(self, codes: list[int], symbols: int) -> None:
+        go = suffix_automaton(codes)
+        own = sorted({c for moves in go for c in moves} - {0})
+        self.own = np.zeros(symbols, np.int32)
+        self.own[own] = np.arange(1, len(own) + 1)
+        self.width = len(own) + 1
+        at = {c: i + 1 for i, c in enumerate(own)}
+        keys = np.array([(s + 1) * self.width + at[c] for s, m in enumerate(go) for c in m if c], np.int64)
+        to = np.array([x + 1 for m in go for c, x in m.items() if c], np.int32)
+        self.root = np.zeros(self.width, np.int32)
+        first = keys < 2 * self.width
+        self.root[keys[first] - self.width] = to[first]
+        self.table = self.keys = None
+        size = (len(go) + 1) * self.width
+        if size <= DENSE:
+            self.table = np.zeros(size, np.int32)
+            self.table[keys] = to
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order]
+
+    def step(self, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + own
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
 
 
 def _letters(text: str) -> np.ndarray:
@@ -75,41 +108,31 @@ def _letters(text: str) -> np.ndarray:
 
 
 class Model:
-    """Automata of all languages in one table; symbol 0 is never matched, 1 is a non-letter."""
+    """An automaton for each language; symbol 0 is never matched, 1 is a non-letter.
+
+    Every letter of the samples has a symbol of its own; letters that no sample has
+    share symbol 0.
+    """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.languages = [lang for lang, _ in samples]
-        seen = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-        common = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: MAX_SYMBOLS - 2])
-        self.code = np.ones(0x10000, np.uint8)
-        for c in range(0x10000):
+        seen = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
+        self.code = np.ones(0x110000, np.int32)
+        for c in range(0x110000):
             if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
                 self.code[c] = 0
-        for i, c in enumerate(common):
-            if ord(c) < 0x10000:
-                self.code[ord(c)] = i + 2
-        self.symbols = len(common) + 2
-        # row 0 is the dead state: nothing leads on from it
-        parts, self.root, at = [np.full((1, self.symbols), -1, np.int32)], [], 1
-        for _, text in samples:
-            one = suffix_automaton(self.encode(text)[:CHARS_PER_LANGUAGE].tolist(), self.symbols)
-            one[:, 0] = -1
-            one[one >= 0] += at
-            self.root.append(at)
-            parts.append(one)
-            at += len(one)
-        moves = np.concatenate(parts)
-        moves[moves < 0] = 0
-        self.moves = moves.reshape(-1)
-        self.start = np.stack([moves[r] for r in self.root]) if self.root else np.zeros((0, self.symbols), np.int32)
+        for i, c in enumerate(seen):
+            self.code[ord(c)] = i + 2
+        self.symbols = len(seen) + 2
+        self.moves = [Moves(self.encode(text)[:CHARS_PER_LANGUAGE].tolist(), self.symbols) for _, text in samples]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.code[np.minimum(_letters(text), 0xFFFF)]
+        return self.code[_letters(text)]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases [language, text] of the greedy parse."""
-        out = np.zeros((len(self.root), len(texts)), np.int64)
-        if not texts or not self.root:
+        out = np.zeros((len(self.moves), len(texts)), np.int64)
+        if not texts or not self.moves:
             return out
         sizes = np.array([len(x) for x in texts])
         owner = np.repeat(np.arange(len(texts)), -(-sizes // SEGMENT))
@@ -123,17 +146,17 @@ class Model:
         owner, begin, length = owner[order], begin[order], length[order]
         codes = np.concatenate(texts)
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-        for lang in range(len(self.root)):
-            state = np.zeros(len(owner), np.int32)
+        for lang, moves in enumerate(self.moves):
+            own = moves.own[codes]
+            state = np.zeros(len(owner), np.int32)  # dead: the first character opens a phrase
             count = np.zeros(len(owner), np.int32)
-            fresh = self.start[lang]
             for t in range(int(length[0])):
                 k = active[t]
-                c = codes[begin[:k] + t]
-                to = self.moves[state[:k] * self.symbols + c]
+                c = own[begin[:k] + t]
+                to = moves.step(state[:k], c)
                 lost = to == 0
                 count[:k] += lost
-                state[:k] = np.where(lost, fresh[c], to)
+                state[:k] = np.where(lost, moves.root[c], to)
             out[lang] = np.bincount(owner, weights=count, minlength=len(texts))
         return out
 

@@ -162,5 +162,31 @@ def test_greedy_parse_counts_longest_matches():
     assert model.phrases([x])[:, 0].tolist() == [3, 9]  # abcab|cab|q against one phrase a character
 
 
+def test_every_letter_of_a_large_alphabet_counts(monkeypatch):
+    rng = random.Random(8)
+    groups = [[chr(0x4E00 + i) for i in range(600)], [chr(0x4E00 + i) for i in range(300, 900)], [chr(0x20000 + i) for i in range(500)]]
+    words_ = [["".join(rng.choices(g, k=3)) for _ in range(400)] for g in groups]
+    text = lambda k, n: "".join(rng.choices(words_[k], k=n))
+    samples = [("zz", "the quick brown fox jumps over the lazy dog " * 100)] + [(f"c{k}", text(k, 4000)) for k in range(3)]
+    model = language.Model(tuple(samples))
+    tests = [(f"c{k}", text(k, 30)) for k in range(3) for _ in range(20)]
+    named, scores = model.predict([x for _, x in tests])
+    assert named == [lang for lang, _ in tests] and min(scores) > 0.3
+    encoded = [model.encode(x) for _, x in tests]
+    dense = model.phrases(encoded)
+    # greedy longest matches against the sample itself
+    for lang, (_, sample) in enumerate(samples):
+        for n, (_, x) in enumerate(tests[::20]):
+            count, at = 0, 0
+            while at < len(x):
+                size = 1
+                while at + size < len(x) and x[at : at + size + 1] in sample[: language.CHARS_PER_LANGUAGE]:
+                    size += 1
+                count, at = count + 1, at + size
+            assert dense[lang, 20 * n] == count
+    monkeypatch.setattr(language, "DENSE", 0)
+    assert (language.Model(tuple(samples)).phrases(encoded) == dense).all()
+
+
 def test_hash_of_items(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0]
