@@ -91,39 +91,52 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, label[nodes]
 
 
-def linked(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the links between two tiles [row, part], or within one.
+def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int):
+    """Index arrays (r, c), r < c, of the pairs of two tiles [row, part], or within one, block by block.
 
-    Indexes of ``right`` follow those of ``left``.
+    Indexes of ``right`` follow those of ``left``. Half of the parts are compared for
+    all pairs, the others where the difference so far is within the radius.
     """
     same = right is None
     right = left if same else right
-    rows, cols = [], []
-    base = 0 if same else len(left)
+    base, words = 0 if same else len(left), left.shape[1]
+    half = (words + 1) // 2
     for i in range(0, len(left), ROWS):
         block = left[i : i + ROWS]
         for j in range(i if same else 0, len(right), COLUMNS):
             other = right[j : j + COLUMNS]
-            near = np.bitwise_count(block[:, :1] ^ other[:, 0][None, :]) <= first_radius
+            bits = np.bitwise_count(block[:, :1] ^ other[:, 0][None, :])
+            near = bits <= first_radius
+            if half > 1:
+                bits = bits.astype(np.uint8 if half < 4 else np.int64)
+                for k in range(1, half):
+                    bits += np.bitwise_count(block[:, k : k + 1] ^ other[:, k][None, :])
+                near &= bits <= radius
             r, c = np.nonzero(near)
             if same:
                 r, c = r[(up := j + c > i + r)], c[up]
-            if len(r) and left.shape[1] > 1:
+            if len(r) and words > 1:
                 ok = np.bitwise_count(block[r] ^ other[c]).sum(axis=1, dtype=np.int64) <= radius
                 r, c = r[ok], c[ok]
             if len(r):
-                rows.append(r + i)
-                cols.append(c + j + base)
-    if not rows:
+                yield r + i, c + j + base
+
+
+def linked(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the links between two tiles, or within one, indexed as in near_pairs."""
+    found = list(near_pairs(left, right, radius, first_radius))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _forest(np.concatenate(rows), np.concatenate(cols))
+    return _forest(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]))
 
 
-def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int, segments: int, tile: int) -> DataFrame:
+def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int | None, segments: int, tile: int) -> DataFrame:
     """(a, b): a spanning forest, within each tile pair, of the fingerprints that link.
 
     ``distinct`` has one row for each fingerprint ``fp``; a and b are fingerprints.
+    Without ``first_radius`` no link within the radius is lost.
     """
+    first_radius = min(64, radius) if first_radius is None else first_radius
     width = 64 // segments
     mask = (1 << width) - 1
     first = F.col("fp")[0]
@@ -184,17 +197,14 @@ def near_duplicates(
     """(id, fp, component) of every row: the class of texts that link, directly or not.
 
     Texts link if their fingerprints of ``words`` * 64 bits differ in ``radius`` bits
-    or fewer (default: a fifth, a similarity of 0.8). ``first_radius`` bounds the
-    difference of the first 64 bits, to compare the rest only where it can pay; with
-    one part it is the radius itself. ``component`` is the smallest id of the class.
+    or fewer (default: a fifth, a similarity of 0.8). ``first_radius`` may bound the
+    difference of the first 64 bits further, which loses links; by default it loses none. ``component`` is the smallest id of the class.
     Null, empty and blank texts have fingerprint 0 and link to each other; texts
     shorter than a shingle are one shingle; rows that repeat an id share a class only
     if their fingerprints link. ``component`` is null only in classes without any id.
     An empty table gives no rows.
     """
     radius = words * 64 // 5 if radius is None else radius
-    if first_radius is None:
-        first_radius = radius if words == 1 else min(64, radius // words + 8)
     fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     distinct = written(distinct, "distinct-fingerprints")

@@ -76,6 +76,18 @@ def test_links_are_complete_over_tiles(spark, segments, radius, words):
     assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
 
 
+def test_default_links_do_not_depend_on_the_first_part(spark):
+    rng = random.Random(9)
+    rows, want = [], 0
+    for parts in [(51, 0, 0, 0), (21, 10, 10, 10), (0, 0, 0, 51), (25, 26, 0, 0), (40, 0, 0, 11), (51, 1, 0, 0)]:
+        x = [rng.getrandbits(64) for _ in range(4)]
+        y = [v ^ sum(1 << b for b in rng.sample(range(64), n)) for v, n in zip(x, parts, strict=True)]
+        rows += [x, y]
+        want += sum(parts) <= 51
+    df = spark.createDataFrame([([int(np.uint64(p).view(np.int64)) for p in r],) for r in rows], "fp array<bigint>")
+    assert simhash.near_links(df, 4, 51, None, 1, tile=3).distinct().count() == want == 5
+
+
 def test_keep_first_and_empty(docs, none, raw):
     kept = simhash.keep_first(docs).collect()
     assert kept and len({r.doc_id for r in kept if r.doc_id is not None}) == len([r for r in kept if r.doc_id is not None])
