@@ -17,7 +17,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -54,17 +54,18 @@ def shingle_fingerprint(text: str | None, shingle: int, words: int) -> list[int]
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """(id, fp: array of ``words`` 64-bit parts) of every row, over whole texts."""
+    """(id, text_hash, fp: array of ``words`` 64-bit parts) of every row, over whole texts."""
 
     def run(batches):
         for b in batches:
-            parts = [shingle_fingerprint(t, shingle, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int64()))], names=["id", "fp"])
+            parts = [shingle_fingerprint(t, shingle, words) for t in b.column(2).to_pylist()]
+            columns = [b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "fp"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, fp array<bigint>")
 
 
 def _offsets(segments: int, radius: int) -> list[list[int]]:
@@ -204,6 +205,12 @@ def near_duplicates(
     if their fingerprints link. ``component`` is null only in classes without any id.
     An empty table gives no rows.
     """
+    out = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile)
+    return out.select(F.col("id").alias(id_col), "fp", "component")
+
+
+def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile) -> DataFrame:
+    """As near_duplicates, with text_hash and the class's ``root``, which no other class has."""
     radius = words * 64 // 5 if radius is None else radius
     fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
@@ -215,20 +222,39 @@ def near_duplicates(
     )
     classes = written(classes, "fingerprint-classes")
     lowest = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    named = classes.join(lowest, "root").select("fp", "component")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    named = classes.join(lowest, "root").select("fp", "root", "component")
+    return fps.join(named, "fp").select("id", "text_hash", "fp", "root", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_first(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    words: int = 4,
+    radius: int | None = None,
+    first_radius: int | None = None,
+    segments: int = 1,
+    tile: int = 16_384,
+) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id.
 
-    Of rows that repeat that id, one stays. Rows with a null id can't be named and
-    all stay.
+    An id that stands in several classes is passed over where a class has another id;
+    where it has none, the id stays once for each such class. Of rows of a class that
+    repeat the id kept, one stays: that with the smallest hash of its text, then of
+    the row. Rows with a null id can't be named and all stay.
     """
-    classes = near_duplicates(docs, id_col=id_col, **options)
-    kept = classes.filter(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    classes = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile)
+    classes = written(classes.filter("id is not null").select("id", "text_hash", "root"), "classes")
+    shared = classes.groupBy("id").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
+    classes = classes.join(shared.select("id", F.lit(True).alias("_shared")), "id", "left")
+    rank = F.struct(F.col("_shared").isNotNull(), "id", "text_hash")
+    kept = classes.groupBy("root").agg(F.min(rank).alias("_k"))
+    kept = kept.select(F.col("_k.id").alias(id_col), F.col("_k.text_hash").alias("_text_hash"))
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("_text_hash", F.xxhash64(text_col))
+    order = Window.partitionBy(id_col, "_text_hash").orderBy(F.xxhash64(*docs.columns))
+    named = named.join(kept, [id_col, "_text_hash"], "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return named.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op1_tiled_simhash(spark, sf_dir: str) -> DataFrame:

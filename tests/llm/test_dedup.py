@@ -95,6 +95,16 @@ def test_keep_first_and_empty(docs, none, raw):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_every_class_keeps_one_row_when_ids_repeat(spark, docs, raw):
+    kept = [r for r in simhash.keep_first(docs).collect() if r.doc_id is not None]
+    assert [sum(r.text == raw[k][1] for r in kept) for k in (3, 4)] == [1, 1]
+    assert {r.component for r in simhash.near_duplicates(docs).collect() if r.doc_id == 5} == {5}
+    rows = [(5, "one text of its own here", "a"), (5, "quite another one that is longer", "a"), (5, "quite another one that is longer", "b"), (7, "one text of its own here", "c")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    for some in (df, df.filter("doc_id = 5")):
+        assert sorted(r.text for r in simhash.keep_first(some).collect()) == [rows[0][1], rows[1][1]]
+
+
 def test_near_copies_over_the_threshold_are_found(spark):
     rng = random.Random(3)
     voc = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
