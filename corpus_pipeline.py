@@ -28,9 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates.
 
-    Shingles of five words, fingerprints of 256 bits, a fifth of which may differ.
+    Fingerprints of 256 bits over shingles of five words propose pairs where a fifth of
+    the bits or fewer differ; a pair links at a Jaccard similarity of 0.8 or more.
     """
-    return keep_first(docs, shingle=5, words=4).select(*COLUMNS)
+    return keep_first(docs, shingle=5, words=4, similarity=0.8).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

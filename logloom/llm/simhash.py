@@ -29,36 +29,65 @@ from .graph import connected_components
 BLOCK = 1 << 15
 ROWS = 64
 COLUMNS = 2048
+#: Pairs a row of a tile pair that are all compared at once.
+CANDIDATES = 64
 
 
-def shingle_fingerprint(text: str | None, shingle: int, words: int) -> list[int]:
-    """64-bit parts of the SimHash: part k takes the XXH64 hashes with seed 42 + k."""
+def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased words, joined by one space, and the bounds of each shingle in them."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * words
-    joined = b" ".join(tokens)
+        return b"", [], []
     n = max(1, len(tokens) - shingle + 1)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[:n].tolist()
-    ends = (ends - 1)[min(shingle, len(tokens)) - 1 :].tolist()
+    return b" ".join(tokens), starts, (ends - 1)[min(shingle, len(tokens)) - 1 :].tolist()
+
+
+def _hashes(joined: bytes, starts: list[int], ends: list[int], seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def shingle_fingerprint(text: str | None, shingle: int, words: int, distinct: bool = False) -> list[int]:
+    """64-bit parts of the SimHash: part k takes the XXH64 hashes with seed 42 + k.
+
+    With ``distinct`` a shingle counts once, however often it stands in the text.
+    """
+    joined, starts, ends = _shingles(text, shingle)
+    if not starts:
+        return [0] * words
+    if distinct:
+        at = np.unique(_hashes(joined, starts, ends, 42), return_index=True)[1].tolist()
+        starts, ends = [starts[i] for i in at], [ends[i] for i in at]
+    n = len(starts)
     out = []
     for k in range(words):
-        seed, bits = 42 + k, np.zeros(64, np.int64)
+        bits = np.zeros(64, np.int64)
         for at in range(0, n, BLOCK):
-            h = [xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-            as_bytes = np.array(h, np.uint64).view(np.uint8).reshape(-1, 8)
-            bits += np.unpackbits(as_bytes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = _hashes(joined, starts[at : at + BLOCK], ends[at : at + BLOCK], 42 + k)
+            bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * bits > n, bitorder="little").view(np.int64)[0]))
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """(id, text_hash, fp: array of ``words`` 64-bit parts) of every row, over whole texts."""
+def text_key(joined: bytes) -> list[int]:
+    """128 bits that tell texts of different words apart."""
+    return np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, texts: bool = False) -> DataFrame:
+    """(id, text_hash, fp: array of ``words`` 64-bit parts) of every row, over whole texts.
+
+    With ``texts`` the parts are over distinct shingles, and the text's key follows them.
+    """
 
     def run(batches):
         for b in batches:
-            parts = [shingle_fingerprint(t, shingle, words) for t in b.column(2).to_pylist()]
+            parts = [
+                shingle_fingerprint(t, shingle, words, texts) + (text_key(_shingles(t, shingle)[0]) if texts else [])
+                for t in b.column(2).to_pylist()
+            ]
             columns = [b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "fp"])
 
@@ -131,13 +160,11 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius
     return _forest(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]))
 
 
-def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int | None, segments: int, tile: int) -> DataFrame:
-    """(a, b): a spanning forest, within each tile pair, of the fingerprints that link.
+def _tile_pairs(distinct: DataFrame, first_radius: int, segments: int, tile: int) -> DataFrame:
+    """(left, right, itself, key): the flattened rows of each pair of tiles that may hold links.
 
-    ``distinct`` has one row for each fingerprint ``fp``; a and b are fingerprints.
-    Without ``first_radius`` no link within the radius is lost.
+    Rows are ``fp`` and, where there is one, ``label``.
     """
-    first_radius = min(64, radius) if first_radius is None else first_radius
     width = 64 // segments
     mask = (1 << width) - 1
     first = F.col("fp")[0]
@@ -145,7 +172,8 @@ def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int |
         F.bit_count(F.shiftrightunsigned(first, width * k).bitwiseAND(F.lit(mask if width < 64 else -1).cast("bigint"))).cast("int")
         for k in range(segments)
     ]
-    celled = distinct.select("fp", F.array(*counts).alias("cell"))
+    label = [F.array("label")] if "label" in distinct.columns else []
+    celled = distinct.select("fp", F.concat("fp", *label).alias("row"), F.array(*counts).alias("cell"))
     # at most (width + 1) ** segments rows, whatever the number of fingerprints
     sizes = celled.groupBy("cell").agg(F.count("*").alias("n"))
     sizes = sizes.select("cell", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles"))
@@ -153,9 +181,9 @@ def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int |
     hint = F.broadcast if small else (lambda df: df)
     tiles = (
         celled.join(hint(sizes), "cell")
-        .select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("bigint")).cast("int").alias("t"), "fp")
+        .select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("bigint")).cast("int").alias("t"), "row")
         .groupBy("cell", "t")
-        .agg(F.flatten(F.collect_list("fp")).alias("fps"))
+        .agg(F.flatten(F.collect_list("row")).alias("fps"))
     )
     tiles = written(tiles, "tiles")
     moves = F.from_json(F.lit(str(_offsets(segments, first_radius))), "array<array<int>>")
@@ -164,9 +192,21 @@ def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int |
     to = to.join(hint(sizes), "cell").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     to = to.filter((F.col("cell") != F.col("from_cell")) | (F.col("t") >= F.col("from_t")))
     itself = (F.col("cell") == F.col("from_cell")) & (F.col("t") == F.col("from_t"))
-    pairs = to.select("cell", "t", "left", itself.alias("itself")).join(
+    key = F.xxhash64("from_cell", "from_t", "cell", "t").alias("key")
+    pairs = to.select("cell", "t", "left", itself.alias("itself"), key).join(
         tiles.select("cell", "t", F.col("fps").alias("right")), ["cell", "t"]
     )
+    return pairs.select("left", "right", "itself", "key")
+
+
+def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int | None, segments: int, tile: int) -> DataFrame:
+    """(a, b): a spanning forest, within each tile pair, of the fingerprints that link.
+
+    ``distinct`` has one row for each fingerprint ``fp``; a and b are fingerprints.
+    Without ``first_radius`` no link within the radius is lost.
+    """
+    first_radius = min(64, radius) if first_radius is None else first_radius
+    pairs = _tile_pairs(distinct, first_radius, segments, tile)
 
     def run(batches):
         for b in batches:
@@ -184,6 +224,108 @@ def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int |
     return pairs.select("left", "right", "itself").mapInArrow(run, "a array<bigint>, b array<bigint>")
 
 
+def _candidates(pairs: DataFrame, words: int, stride: int, radius: int, first_radius: int, labelled: bool) -> DataFrame:
+    """(a, b, again): pairs of rows within the radius, to be confirmed.
+
+    A tile pair with more than CANDIDATES pairs a row gives each row's least partner on
+    either side only, and its key in ``again``. If rows end in a label, all pairs of
+    different labels are given, whatever their number.
+    """
+
+    def batch(both, r, c, again=()):
+        kind, none = pa.list_(pa.int64()), [None] * len(again)
+        node = lambda at: both[at][:, : words + 2].view(np.int64).tolist() + none
+        columns = [pa.array(node(r), kind), pa.array(node(c), kind), pa.array([None] * len(r) + list(again), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "again"])
+
+    def run(batches):
+        for b in batches:
+            for lhs, rhs, own, key in zip(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x = lhs.values.to_numpy().view(np.uint64).reshape(-1, stride)
+                y = None if own else rhs.values.to_numpy().view(np.uint64).reshape(-1, stride)
+                both = x if own else np.concatenate([x, y])
+                found, held = [], 0
+                after = before = None
+                for r, c in near_pairs(x[:, :words], None if own else y[:, :words], radius, first_radius):
+                    if labelled:
+                        r, c = r[(differ := both[r, -1] != both[c, -1])], c[differ]
+                        for at in range(0, len(r), BLOCK):
+                            yield batch(both, r[at : at + BLOCK], c[at : at + BLOCK])
+                        continue
+                    found.append((r, c))
+                    held += len(r)
+                    if before is None and held > CANDIDATES * len(both):
+                        before, after = np.full(len(both), len(both)), np.full(len(both), len(both))
+                    if before is not None:
+                        for p, q in found:
+                            np.minimum.at(before, q, p)
+                            np.minimum.at(after, p, q)
+                        found = []
+                if before is not None:
+                    c, r = np.flatnonzero(before < len(both)), np.flatnonzero(after < len(both))
+                    yield batch(both, np.concatenate([before[c], r]), np.concatenate([c, after[r]]), [key])
+                elif found:
+                    yield batch(both, np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found]))
+
+    return pairs.mapInArrow(run, "a array<bigint>, b array<bigint>, again bigint")
+
+
+def _confirmed(found: DataFrame, docs: DataFrame, text_col: str, shingle: int, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    key = lambda c: F.slice(c, words + 1, 2)
+    some = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = some.select(key("a").alias("key")).unionByName(some.select(key("b").alias("key"))).distinct()
+
+    def keys(batches):
+        for b in batches:
+            made = [text_key(_shingles(t, shingle)[0]) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), b.column(0)], names=["key", "text"])
+
+    def sets(batches):
+        for b in batches:
+            made = [np.unique(_hashes(*_shingles(t, shingle), 42)).view(np.int64).tolist() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["key", "h"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(keys, "key array<bigint>, text string")
+    texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    hashed = written(texts.mapInArrow(sets, "key array<bigint>, h array<bigint>"), "shingle-sets")
+    out = some.join(hashed.select(F.col("key").alias("_ka"), F.col("h").alias("_ha")), key("a") == F.col("_ka"))
+    out = out.join(hashed.select(F.col("key").alias("_kb"), F.col("h").alias("_hb")), key("b") == F.col("_kb"))
+    both = F.size(F.array_intersect("_ha", "_hb"))
+    return out.filter(both / (F.size("_ha") + F.size("_hb") - both) >= similarity).select("a", "b")
+
+
+def confirmed_links(
+    distinct: DataFrame,
+    docs: DataFrame,
+    text_col: str,
+    shingle: int,
+    words: int,
+    radius: int,
+    first_radius: int | None,
+    segments: int,
+    tile: int,
+    similarity: float,
+) -> DataFrame:
+    """(a, b): links of texts within the radius whose shingles are similar enough, enough to span every class.
+
+    Every pair within the radius is compared exactly, but for those in tile pairs with
+    very many of them that share a class by the pairs compared first.
+    """
+    first_radius = min(64, radius) if first_radius is None else first_radius
+    pairs = _tile_pairs(distinct, first_radius, segments, tile)
+    found = written(_candidates(pairs, words, words + 2, radius, first_radius, False), "candidates")
+    links = written(_confirmed(found, docs, text_col, shingle, words, similarity), "confirmed")
+    again = found.filter("again is not null").select(F.col("again").alias("key"))
+    if again.isEmpty():
+        return links
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    labelled = distinct.join(roots, "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label"))
+    pairs = _tile_pairs(labelled, first_radius, segments, tile).join(again, "key", "left_semi").select("left", "right", "itself", "key")
+    found = written(_candidates(pairs, words, words + 3, radius, first_radius, True), "candidates")
+    return links.unionByName(_confirmed(found, docs, text_col, shingle, words, similarity))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -194,28 +336,35 @@ def near_duplicates(
     first_radius: int | None = None,
     segments: int = 1,
     tile: int = 16_384,
+    similarity: float | None = None,
 ) -> DataFrame:
     """(id, fp, component) of every row: the class of texts that link, directly or not.
 
     Texts link if their fingerprints of ``words`` * 64 bits differ in ``radius`` bits
     or fewer (default: a fifth, a similarity of 0.8). ``first_radius`` may bound the
-    difference of the first 64 bits further, which loses links; by default it loses none. ``component`` is the smallest id of the class.
+    difference of the first 64 bits further, which loses links; by default it loses none.
+    With ``similarity`` texts of different words within the radius (of fingerprints over
+    distinct shingles) link only if the Jaccard similarity of their sets of shingles,
+    computed exactly, reaches it. ``component`` is the smallest id of the class.
     Null, empty and blank texts have fingerprint 0 and link to each other; texts
     shorter than a shingle are one shingle; rows that repeat an id share a class only
     if their fingerprints link. ``component`` is null only in classes without any id.
     An empty table gives no rows.
     """
-    out = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile)
-    return out.select(F.col("id").alias(id_col), "fp", "component")
+    out = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
+    return out.select(F.col("id").alias(id_col), F.slice("fp", 1, words).alias("fp"), "component")
 
 
-def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile) -> DataFrame:
+def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity) -> DataFrame:
     """As near_duplicates, with text_hash and the class's ``root``, which no other class has."""
     radius = words * 64 // 5 if radius is None else radius
-    fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, shingle, words, similarity is not None), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     distinct = written(distinct, "distinct-fingerprints")
-    links = near_links(distinct.select("fp"), words, radius, first_radius, segments, tile)
+    if similarity is None:
+        links = near_links(distinct.select("fp"), words, radius, first_radius, segments, tile)
+    else:
+        links = confirmed_links(distinct.select("fp"), docs, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
     roots = connected_components(links)
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root")
@@ -236,6 +385,7 @@ def keep_first(
     first_radius: int | None = None,
     segments: int = 1,
     tile: int = 16_384,
+    similarity: float | None = 0.8,
 ) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id.
 
@@ -244,7 +394,7 @@ def keep_first(
     repeat the id kept, one stays: that with the smallest hash of its text, then of
     the row. Rows with a null id can't be named and all stay.
     """
-    classes = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile)
+    classes = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
     classes = written(classes.filter("id is not null").select("id", "text_hash", "root"), "classes")
     shared = classes.groupBy("id").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
     classes = classes.join(shared.select("id", F.lit(True).alias("_shared")), "id", "left")

@@ -105,6 +105,39 @@ def test_every_class_keeps_one_row_when_ids_repeat(spark, docs, raw):
         assert sorted(r.text for r in simhash.keep_first(some).collect()) == [rows[0][1], rows[1][1]]
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_links_are_confirmed_by_their_shingles(spark, monkeypatch, most):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["a " * 40 + word(), "a " * 90 + word(), "", None]
+    footer = " ".join(word() for _ in range(8))
+    texts += [f"{word()} {word()} " + f"{footer} " * 30 + f"{word()} {word()} {word()}" for _ in range(6)]
+    for changes in (2, 4, 6, 8, 10, 12) * 3:
+        w = [word() for _ in range(300)]
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in rng.sample(range(300), changes):
+                v[at] = word()
+            texts.append(" ".join(v))
+
+    def shingles(t):
+        w = split_words(t)
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    values = [(shingles(t), simhash.shingle_fingerprint(t, 5, 4, True)) for t in texts]
+    near = lambda a, b: sum(bin((x ^ y) % 2**64).count("1") for x, y in zip(a[1], b[1])) <= 51
+    alike = lambda a, b: a[0] == b[0] or 5 * len(a[0] & b[0]) >= 4 * len(a[0] | b[0])
+    want = classes(values, lambda a, b: near(a, b) and alike(a, b))
+    assert want != classes(values, near)
+    monkeypatch.setattr(simhash, "CANDIDATES", most)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: r.component for r in simhash.near_duplicates(df, similarity=0.8, tile=16).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+    if most:
+        assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(set(want))
+
+
 def test_near_copies_over_the_threshold_are_found(spark):
     rng = random.Random(3)
     voc = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
