@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import range_of, totals_before
+
 
 def assign_offsets(rows: DataFrame, key: list[str], time_col: str, ties: list[str], rows_per_range: int = 200_000, start: DataFrame | None = None) -> DataFrame:
-    """Adds dense ``offset`` from 0 per key, in order of time, then ties.
+    """Adds dense ``offset`` from 0 per key, in order of time, then ties (integers or strings).
 
-    A key may hold most of the rows: ranges of time are numbered on their own and
-    shifted by the rows before them. ``start`` has a key's next offset, to append.
-    Null times come first.
+    A key, or one moment, may hold most of the rows: ranges of time and ties are
+    numbered on their own and shifted by the rows before them. ``start`` has a key's
+    next offset, to append. Null times come first.
     """
-    at = F.unix_micros(F.col(time_col))
-    low, high, n = rows.agg(F.min(at), F.max(at), F.count("*")).first()
-    ranges = max(1, -(-n // rows_per_range))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    rows = rows.withColumn("_range", F.coalesce(F.floor((at - F.lit(low)) / width), F.lit(-1)).cast("int")) if low is not None else rows.withColumn("_range", F.lit(-1))
-    counts = rows.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    order = [F.unix_micros(F.col(time_col)), *[F.col(c) for c in ties]]
+    rows = rows.withColumn("_range", range_of(rows, order, rows_per_range))
+    counts = totals_before(rows.groupBy(*key, "_range").agg(F.count("*").alias("_n")), key, "_range", "_n", "_before").drop("_n")
     inside = Window.partitionBy(*key, "_range").orderBy(time_col, *ties)
     out = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(counts, [*key, "_range"])
     first = F.lit(0)
@@ -134,6 +131,18 @@ def truncate(log: DataFrame, limits: DataFrame) -> DataFrame:
     return log.join(cut, "queue", "left").filter(F.col("_cut").isNull() | (F.col("offset") >= F.col("_cut"))).drop("_cut")
 
 
+def truncate_segments(log: DataFrame, segs: DataFrame, before: DataFrame) -> DataFrame:
+    """Without the leading whole segments of each queue that end before its ``keep_from``; the last segment stays.
+
+    Segments and their rows join by queue and base, so a log stored by segment drops
+    whole files.
+    """
+    w = Window.partitionBy("queue").orderBy("base")
+    gone = segs.withColumn("_next", F.lead("base").over(w)).join(before.select("queue", "keep_from"), "queue")
+    gone = gone.filter(F.col("_next") <= F.col("keep_from")).select("queue", F.col("base").alias("segment"))
+    return log.join(gone, ["queue", "segment"], "left_anti")
+
+
 def processed_offsets(retention: DataFrame, groups: DataFrame) -> DataFrame:
     """queue, keep_from: the lesser of the work groups' committed minimum (none: tail) and the retention offset."""
     least = groups.filter("mode = 'queue'").groupBy("queue").agg(F.min("committed").alias("_least"))

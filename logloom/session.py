@@ -37,14 +37,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors reach: spark.checkpoint.dir.
 
-    Only where that setting is missing (a local test session) a temporary
-    folder is made, once per session.
+    Only where that setting is missing in a local session a temporary folder is made,
+    once per session; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
