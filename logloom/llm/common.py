@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import count_below, let, running
 from ..session import shared_path
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "bucket_count", "hash_bucket", "shared_path", "table", "written"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "bucket_count", "count_below", "forget", "hash_bucket", "let", "running", "shared_path", "table", "written"]
 
 #: The ASCII letters that the contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,7 +22,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import hot_keys, spread_join
 from ..session import ship
-from .common import written
+from .common import forget, written
 from .common import table as read_table
 from .graph import connected_components
 
@@ -29,8 +30,13 @@ from .graph import connected_components
 BLOCK = 1 << 15
 ROWS = 64
 COLUMNS = 2048
-#: Pairs a row of a tile pair that are all compared at once.
-CANDIDATES = 64
+#: Pairs a row of a tile pair up to which all are compared at once; a tile pair with more
+#: gives two for each row first, then those that are still in different classes.
+CANDIDATES = 2
+#: Parts of a row after the fingerprint: its text's key and its number of distinct shingles.
+KEYED = 3
+#: Texts that a task remembers so as to give repeated ones once.
+SEEN = 1_000_000
 
 
 def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -71,6 +77,11 @@ def shingle_fingerprint(text: str | None, shingle: int, words: int, distinct: bo
     return out
 
 
+def _keyed(text: str | None, shingle: int) -> list[int]:
+    joined, starts, ends = _shingles(text, shingle)
+    return [*text_key(joined), len({joined[a:b] for a, b in zip(starts, ends, strict=True)})]
+
+
 def text_key(joined: bytes) -> list[int]:
     """128 bits that tell texts of different words apart."""
     return np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64).tolist()
@@ -79,13 +90,13 @@ def text_key(joined: bytes) -> list[int]:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, texts: bool = False) -> DataFrame:
     """(id, text_hash, fp: array of ``words`` 64-bit parts) of every row, over whole texts.
 
-    With ``texts`` the parts are over distinct shingles, and the text's key follows them.
+    With ``texts`` the parts are over distinct shingles; the text's key and the number of them follow.
     """
 
     def run(batches):
         for b in batches:
             parts = [
-                shingle_fingerprint(t, shingle, words, texts) + (text_key(_shingles(t, shingle)[0]) if texts else [])
+                shingle_fingerprint(t, shingle, words, texts) + (_keyed(t, shingle) if texts else [])
                 for t in b.column(2).to_pylist()
             ]
             columns = [b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int64()))]
@@ -224,17 +235,21 @@ def near_links(distinct: DataFrame, words: int, radius: int, first_radius: int |
     return pairs.select("left", "right", "itself").mapInArrow(run, "a array<bigint>, b array<bigint>")
 
 
-def _candidates(pairs: DataFrame, words: int, stride: int, radius: int, first_radius: int, labelled: bool) -> DataFrame:
+def _candidates(pairs: DataFrame, words: int, radius: int, first_radius: int, similarity: float, labelled: bool) -> DataFrame:
     """(a, b, again): pairs of rows within the radius, to be confirmed.
 
+    Pairs whose numbers of shingles alone keep their similarity below ``similarity``
+    are left out.
     A tile pair with more than CANDIDATES pairs a row gives each row's least partner on
     either side only, and its key in ``again``. If rows end in a label, all pairs of
     different labels are given, whatever their number.
     """
 
+    stride = words + KEYED + labelled
+
     def batch(both, r, c, again=()):
         kind, none = pa.list_(pa.int64()), [None] * len(again)
-        node = lambda at: both[at][:, : words + 2].view(np.int64).tolist() + none
+        node = lambda at: both[at][:, : words + KEYED].view(np.int64).tolist() + none
         columns = [pa.array(node(r), kind), pa.array(node(c), kind), pa.array([None] * len(r) + list(again), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "again"])
 
@@ -244,9 +259,12 @@ def _candidates(pairs: DataFrame, words: int, stride: int, radius: int, first_ra
                 x = lhs.values.to_numpy().view(np.uint64).reshape(-1, stride)
                 y = None if own else rhs.values.to_numpy().view(np.uint64).reshape(-1, stride)
                 both = x if own else np.concatenate([x, y])
+                count = both[:, words + KEYED - 1].astype(np.float64)
                 found, held = [], 0
                 after = before = None
                 for r, c in near_pairs(x[:, :words], None if own else y[:, :words], radius, first_radius):
+                    alike = np.minimum(count[r], count[c]) >= similarity * np.maximum(count[r], count[c]) - 1e-6
+                    r, c = r[alike], c[alike]
                     if labelled:
                         r, c = r[(differ := both[r, -1] != both[c, -1])], c[differ]
                         for at in range(0, len(r), BLOCK):
@@ -277,9 +295,16 @@ def _confirmed(found: DataFrame, docs: DataFrame, text_col: str, shingle: int, w
     wanted = some.select(key("a").alias("key")).unionByName(some.select(key("b").alias("key"))).distinct()
 
     def keys(batches):
+        seen = set()
         for b in batches:
-            made = [text_key(_shingles(t, shingle)[0]) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), b.column(0)], names=["key", "text"])
+            made, texts = [], []
+            for t in b.column(0).to_pylist():
+                if (one := tuple(text_key(_shingles(t, shingle)[0]))) not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(one)
+                    made.append(list(one))
+                    texts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["key", "text"])
 
     def sets(batches):
         for b in batches:
@@ -289,8 +314,13 @@ def _confirmed(found: DataFrame, docs: DataFrame, text_col: str, shingle: int, w
     texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(keys, "key array<bigint>, text string")
     texts = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
     hashed = written(texts.mapInArrow(sets, "key array<bigint>, h array<bigint>"), "shingle-sets")
-    out = some.join(hashed.select(F.col("key").alias("_ka"), F.col("h").alias("_ha")), key("a") == F.col("_ka"))
-    out = out.join(hashed.select(F.col("key").alias("_kb"), F.col("h").alias("_hb")), key("b") == F.col("_kb"))
+    # a text may be in very many pairs, on either side
+    pairs = written(some.select("a", "b", key("a").alias("ka"), key("b").alias("kb")), "candidate-pairs")
+    total = pairs.count()
+    out = pairs
+    for k, h in (("ka", "_ha"), ("kb", "_hb")):
+        hot = hot_keys(pairs.groupBy(k).agg(F.count("*").alias("n")), [k], "n", total)
+        out = spread_join(out, hashed.select(F.col("key").alias(k), F.col("h").alias(h)), [k], hot)
     both = F.size(F.array_intersect("_ha", "_hb"))
     return out.filter(both / (F.size("_ha") + F.size("_hb") - both) >= similarity).select("a", "b")
 
@@ -314,7 +344,7 @@ def confirmed_links(
     """
     first_radius = min(64, radius) if first_radius is None else first_radius
     pairs = _tile_pairs(distinct, first_radius, segments, tile)
-    found = written(_candidates(pairs, words, words + 2, radius, first_radius, False), "candidates")
+    found = written(_candidates(pairs, words, radius, first_radius, similarity, False), "candidates")
     links = written(_confirmed(found, docs, text_col, shingle, words, similarity), "confirmed")
     again = found.filter("again is not null").select(F.col("again").alias("key"))
     if again.isEmpty():
@@ -322,7 +352,7 @@ def confirmed_links(
     roots = connected_components(links).withColumnRenamed("node", "fp")
     labelled = distinct.join(roots, "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label"))
     pairs = _tile_pairs(labelled, first_radius, segments, tile).join(again, "key", "left_semi").select("left", "right", "itself", "key")
-    found = written(_candidates(pairs, words, words + 3, radius, first_radius, True), "candidates")
+    found = written(_candidates(pairs, words, radius, first_radius, similarity, True), "candidates")
     return links.unionByName(_confirmed(found, docs, text_col, shingle, words, similarity))
 
 
@@ -359,7 +389,7 @@ def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segme
     """As near_duplicates, with text_hash and the class's ``root``, which no other class has."""
     radius = words * 64 // 5 if radius is None else radius
     fps = written(fingerprints(docs, id_col, text_col, shingle, words, similarity is not None), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct-fingerprints")
     if similarity is None:
         links = near_links(distinct.select("fp"), words, radius, first_radius, segments, tile)
@@ -367,12 +397,16 @@ def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segme
         links = confirmed_links(distinct.select("fp"), docs, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
     roots = connected_components(links)
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
+        "fp", "rep", "n", F.coalesce("root", "fp").alias("root")
     )
     classes = written(classes, "fingerprint-classes")
-    lowest = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    named = classes.join(lowest, "root").select("fp", "root", "component")
-    return fps.join(named, "fp").select("id", "text_hash", "fp", "root", "component")
+    forget(distinct)
+    lowest = classes.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n"))
+    # classes of very many fingerprints, then fingerprints of very many rows
+    facts = classes.agg(F.count("*"), F.sum("n")).first()
+    named = spread_join(classes.select("fp", "root"), lowest.drop("n"), ["root"], hot_keys(lowest, ["root"], "n", facts[0]))
+    hot = hot_keys(classes, ["fp"], "n", facts[1] or 0)
+    return spread_join(fps, named, ["fp"], hot).select("id", "text_hash", "fp", "root", "component")
 
 
 def keep_first(

@@ -105,7 +105,7 @@ def test_every_class_keeps_one_row_when_ids_repeat(spark, docs, raw):
         assert sorted(r.text for r in simhash.keep_first(some).collect()) == [rows[0][1], rows[1][1]]
 
 
-@pytest.mark.parametrize("most", [64, 0])
+@pytest.mark.parametrize("most", [2, 0])
 def test_links_are_confirmed_by_their_shingles(spark, monkeypatch, most):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -213,9 +213,15 @@ def test_perfect_hash_is_minimal():
 
 
 def test_lines_that_share_half_their_hash_are_told_apart():
-    h = np.array([[5, 1], [5, 3], [5, 7], [9, 11]], np.uint64)
-    seed, sizes, bits, prints, counts, keepers = lines.pack(h, np.arange(4), np.arange(4) + 10)
-    mph = lines.PerfectHash(sizes, np.frombuffer(bits, np.uint8))
-    at = mph.index(lines._joint(h, seed))
-    assert sorted(at) == [0, 1, 2, 3]
-    assert np.frombuffer(keepers, np.int64)[at].tolist() == [10, 11, 12, 13]
+    h = np.array([[5, 1 << 50], [5, 3 << 50], [5, 7 << 50], [9, 11 << 50], [4, 5]], np.uint64)
+    counts, keepers = np.array([1, 2, 300, 0, 2]), np.arange(5) + 10
+    names = ["seed", "sizes", "bits", "prints", "counts", "keepers"]
+    shard = lines.Shard(dict(zip(names, lines.pack(h, counts, keepers), strict=True)))
+    count, keeper = shard.probe(h)
+    assert sorted(shard.mph.index(lines._joint(h, shard.seed))) == list(range(5))
+    assert count.tolist() == [1, 2, 255, 0, 2] and keeper.tolist() == [0, 11, 12, 0, 14]
+
+
+def test_lines_by_small_chunks_and_shards(docs):
+    want = sorted(map(str, lines.drop_repeated_lines(docs).collect()))
+    assert sorted(map(str, lines.drop_repeated_lines(docs, shard_keys=7, chunk_bytes=500).collect())) == want
