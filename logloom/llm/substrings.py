@@ -25,16 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import hot_keys, spread_join
 from ..session import ship
-from .common import shared_path, table, written
+from .common import forget, shared_path, table, written
 
 MIN_BYTES = 200
 ANCHOR = 32
-#: Bits of the filter of repeated anchors that tasks load, whatever the corpus: with
-#: more anchors it lets more snippets pass, which then meet no partner.
+#: The filter of repeated anchors that tasks load has 2 ** 26 bits or more, 16 for each
+#: of them, and 2 ** 30 at most (128 MB). Beyond 67 million repeated anchors its share
+#: of set bits, 1 - exp(-anchors / 2 ** 30), is that of the other snippets that pass and
+#: then meet no partner: more shuffle, the same result.
 FILTER_BITS = 26
+MAX_FILTER_BITS = 30
 #: Window starts handled at once, and snippet bytes of a block (one anchor at least).
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Snippet bytes that a task holds to count equal ones before it gives them on.
+HELD_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
 #: Different snippets of one anchor that a task compares; those of busier anchors are
 #: compared window by window in a shuffle.
@@ -94,25 +100,30 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 
 @lru_cache(maxsize=2)
-def _filter(path: str) -> np.ndarray:
-    """The filter's bits as bytes, from the shared folder."""
+def _filter(path: str, size: int) -> np.ndarray:
+    """The filter's 2 ** size bits, from the shared folder."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     store, where = fs.FileSystem.from_uri(path)
-    rows = ds.dataset(where, filesystem=store, format="parquet").to_table()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    for part in ds.dataset(where, filesystem=store, format="parquet").to_batches():
+        bits[part.column("word").to_numpy()] = part.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
 def _may_repeat(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64((1 << FILTER_BITS) - 1)
+    slot = h & np.uint64(64 * len(bits) - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def repeated_anchor_filter(texts: DataFrame, least: int) -> str:
-    """Writes a bit array with the anchors that occur twice or more; returns its path."""
+def repeated_anchor_filter(texts: DataFrame, least: int, anchor_rows: int = ANCHOR_ROWS) -> tuple[tuple[str, int], DataFrame]:
+    """Writes a bit array with the anchors that occur twice or more.
+
+    Returns its path and the log of its size, and the busy anchors (h): those met more
+    than ``anchor_rows`` times and in over a thousandth of all places, so never more
+    than a thousand.
+    """
 
     def run(batches):
         for b in batches:
@@ -120,13 +131,17 @@ def repeated_anchor_filter(texts: DataFrame, least: int) -> str:
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found) if found else np.zeros(0, np.uint64))], names=["h"])
 
     anchors = texts.select("text").mapInArrow(run, "h bigint")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("bigint"))
+    twice = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-anchors")
+    count, total = twice.agg(F.count("*"), F.sum("n")).first()
+    busy = written(hot_keys(twice, ["h"], "n", total or 0, least=anchor_rows), "busy-anchors")
+    size = min(MAX_FILTER_BITS, max(FILTER_BITS, (16 * count).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     words = twice.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    path = shared_path(texts.sparkSession, "repeated-anchors")
+    path = shared_path(texts.sparkSession, "anchor-filter")
     words.write.parquet(path)
-    return path
+    forget(twice)
+    return (path, size), busy
 
 
 def _candidates(data: bytes, bits: np.ndarray, least: int):
@@ -137,11 +152,11 @@ def _candidates(data: bytes, bits: np.ndarray, least: int):
             yield a, p - i, i, data[i : j + least]
 
 
-def distinct_snippets(texts: DataFrame, bits_path: str, least: int) -> DataFrame:
+def distinct_snippets(texts: DataFrame, bits_at: tuple[str, int], least: int) -> DataFrame:
     """(h, s, n, off, snippet): each task's distinct snippets and how often it met them."""
 
     def run(batches):
-        bits, held = _filter(bits_path), {}
+        bits, held = _filter(*bits_at), {}
 
         def flush():
             keys = list(held)
@@ -161,7 +176,7 @@ def distinct_snippets(texts: DataFrame, bits_path: str, least: int) -> DataFrame
                         size += len(snippet) + 200
                     else:
                         one[0] += 1
-                    if size > 64 << 20:  # memory of the task stays bounded
+                    if size > HELD_BYTES:  # memory of the task stays bounded
                         yield flush()
                         size = 0
         yield flush()
@@ -221,13 +236,14 @@ def repeated_starts(group: np.ndarray, count: np.ndarray, off: np.ndarray, snipp
 
 
 def expand_blocks(snippets: DataFrame, least: int, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """(h, s, start, end, w1, w2, n): ranges of repeated bytes, and windows left to compare.
+    """(h, s, start, end, w1, w2, n): ranges of repeated bytes, and windows left to compare; n is the snippet's count.
 
     Where w1 is null the row is a result: the bytes of a snippet that repeated windows
     cover. Windows of a snippet start within less than ``least`` bytes, so these bytes
-    are one range. Other rows are single windows, hashed to 128 bits, of anchors with
-    more than ``anchor_rows`` snippets. Rows arrive in order of h; blocks are cut
-    between anchors, and a task never holds more than that many rows of one anchor.
+    are one range. Other rows are single windows, hashed to 128 bits, of anchors that
+    are ``busy`` or have more than ``anchor_rows`` snippets. Rows arrive in order of h;
+    blocks are cut between anchors, and a task never holds more than that many rows of
+    one anchor.
     """
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = ["h", "s", "start", "end", "w1", "w2", "n"]
@@ -242,22 +258,28 @@ def expand_blocks(snippets: DataFrame, least: int, anchor_rows: int = ANCHOR_ROW
             group, np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], least
         )
         hit = np.flatnonzero(first >= 0)
-        s = np.array([r[1] for r in rows], np.int64)
+        s, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
         none = [None] * len(hit)
-        return as_batch([h[hit], s[hit], first[hit], last[hit] + least, none, none, none])
+        return as_batch([h[hit], s[hit], first[hit], last[hit] + least, none, none, n[hit]])
 
     def windows(rows):
         out = []
-        for h, s, n, _, snippet in rows:
+        for h, s, n, _, snippet, _ in rows:
             for at in range(len(snippet) - least + 1):
                 w = xxhash.xxh3_128_intdigest(snippet[at : at + least])
                 out.append((h, s, at, at + least, (w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63, n))
         return as_batch(list(zip(*out, strict=True)))
 
     def run(batches):
-        rows, own, size = [], 0, 0  # own: rows of the last anchor
+        rows, own, size, busy_rows = [], 0, 0, []  # own: rows of the last anchor
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[5]:
+                    busy_rows.append(r)
+                    if len(busy_rows) == 500:
+                        yield windows(busy_rows)
+                        busy_rows = []
+                    continue
                 if own and r[0] == last:
                     own += 1
                     if own > anchor_rows:  # a busy anchor
@@ -274,27 +296,31 @@ def expand_blocks(snippets: DataFrame, least: int, anchor_rows: int = ANCHOR_ROW
                     last, own = r[0], 1
                 rows.append(r)
                 size += len(r[4])
+        if busy_rows:
+            yield windows(busy_rows)
         if rows:
             yield block(rows)
 
     schema = "h bigint, s bigint, start int, end int, w1 bigint, w2 bigint, n bigint"
-    return snippets.select("h", "s", "n", "off", "snippet").mapInArrow(run, schema)
+    return snippets.select("h", "s", "n", "off", "snippet", "busy").mapInArrow(run, schema)
 
 
 def settled(expanded: DataFrame) -> DataFrame:
-    """(h, s, start, end) of all anchors: results as they are, windows compared by their hashes."""
-    done = expanded.filter("w1 is null").select("h", "s", "start", "end")
+    """(h, s, start, end, n) of all anchors: results as they are, windows compared by their hashes."""
+    done = expanded.filter("w1 is null").select("h", "s", "start", "end", "n")
     left = expanded.filter("w1 is not null")
-    twice = left.groupBy("h", "w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").drop("_n")
-    found = left.join(twice, ["h", "w1", "w2"], "left_semi")
-    return done.unionByName(found.groupBy("h", "s").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    same = ["h", "w1", "w2"]
+    twice = left.groupBy(*same).agg(F.sum("n").alias("_n"), F.count("*").alias("_rows")).filter("_n > 1")
+    # a window may be in all snippets of its anchor
+    found = spread_join(left, twice.select(*same), same, hot_keys(twice, same, "_rows", left.count()), "left_semi")
+    return done.unionByName(found.groupBy("h", "s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n")))
 
 
-def snippet_places(texts: DataFrame, bits_path: str, least: int) -> DataFrame:
+def snippet_places(texts: DataFrame, bits_at: tuple[str, int], least: int) -> DataFrame:
     """(t1, t2, h, s, at): where each text has which snippet; texts met again in a task are skipped."""
 
     def run(batches):
-        bits, seen = _filter(bits_path), set()
+        bits, seen = _filter(*bits_at), set()
         for b in batches:
             rows = []
             for t1, t2, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -328,21 +354,28 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
     texts = rows.filter(F.octet_length("text") >= least)
-    bits = repeated_anchor_filter(texts, least)
+    bits, busy = repeated_anchor_filter(texts, least, anchor_rows)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PARTITION_BYTES))
+    found = distinct_snippets(texts, bits, least).join(F.broadcast(busy.withColumn("busy", F.lit(True))), "h", "left")
+    # snippets of one anchor meet in one task, those of a busy one are dealt over many
     together = (
-        distinct_snippets(texts, bits, least)
-        .repartition(parts, "h")
-        .groupBy("h", "s")
-        .agg(F.sum("n").alias("n"), F.first("off").alias("off"), F.first("snippet").alias("snippet"))
+        found.withColumn("_deal", F.when(F.col("busy"), F.col("s")).otherwise(0))
+        .repartition(parts, "h", "_deal")
+        .groupBy("h", "_deal", "s")
+        .agg(F.sum("n").alias("n"), F.first("off").alias("off"), F.first("snippet").alias("snippet"), F.first("busy").alias("busy"))
         .sortWithinPartitions("h")
     )
-    covered = written(expand_blocks(together, least, anchor_rows), "repeated-ranges")
-    places = snippet_places(texts, bits, least).join(settled(covered), ["h", "s"])
+    expanded = written(expand_blocks(together, least, anchor_rows), "repeated-ranges")
+    covered = written(settled(expanded), "snippet-ranges")
+    forget(expanded)
+    # a snippet may stand in a third of all texts
+    hot = hot_keys(covered, ["h", "s"], "n", covered.agg(F.sum("n")).first()[0] or 0)
+    places = spread_join(snippet_places(texts, bits, least), covered.drop("n"), ["h", "s"], hot)
     ranges = places.select("t1", "t2", (F.col("at") + F.col("start")).alias("a"), (F.col("at") + F.col("end")).alias("b"))
     ranges = ranges.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))
     ranges = written(ranges, "repeated-spans")
+    forget(covered)
 
     def cut(batches):
         for b in batches:
