@@ -26,14 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import hot_keys, spread_join
 from ..session import ship
 from .common import shared_path, table, written
 
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 BLOCK_RECORDS = 512
-#: Directory entries that every task may hold; with more, lookups join the decoded index.
-MAX_DIRECTORY = 1_000_000
+#: Directory entries that every task may hold; beyond it they stand for runs of blocks, each with a directory of its own.
+MAX_DIRECTORY = 100_000
+#: Blocks are numbered from a multiple of this in each partition of the index.
+PARTITION = 1 << 40
+#: Bytes of archives, and of record ranges, that a task reads.
+READ_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 CRLF = b"\r\n"
 #: The tables have no capture time.
 DATE = "1970-01-01T00:00:00Z"
@@ -124,8 +130,10 @@ def roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int
     narrow = rows.select("page", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
     narrow = written(narrow.filter(F.col("bytes") >= least), "payload-digests")
     kept = narrow.groupBy("digest", "bytes").agg(F.max("page").alias("refers_to"), F.max_by("url", "page").alias("refers_url"), F.count("*").alias("n"))
-    kept = kept.filter("n > 1").drop("n")
-    later = narrow.join(kept, ["digest", "bytes"]).filter("page <> refers_to")
+    kept = written(kept.filter("n > 1"), "repeated-payloads")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    hot = hot_keys(kept, ["digest", "bytes"], "n", total)
+    later = spread_join(narrow, kept.drop("n"), ["digest", "bytes"], hot).filter("page <> refers_to")
     later = later.select("page", "digest", "refers_to", "refers_url").distinct()
     own = rows.withColumn("digest", F.sha1("payload"))
     return own.join(later, ["page", "digest"], "left").select("page", "url", "payload", "refers_to", "refers_url")
@@ -176,7 +184,7 @@ def build_index(captures: DataFrame, block_records: int = BLOCK_RECORDS) -> Data
     """Blocks (block, first_key, blob): entries in key order, compressed, in the shared folder."""
 
     def run(batches):
-        at, held = TaskContext.get().partitionId() << 40, []
+        at, held = TaskContext.get().partitionId() * PARTITION, []
 
         def block():
             nonlocal at
@@ -206,42 +214,54 @@ def _entries(blob: bytes) -> tuple[list[bytes], list[list[str]]]:
     return [r[0].encode("utf-8", "surrogatepass") for r in rows], rows
 
 
+def _directory(entries: DataFrame) -> tuple[list[bytes], list[int]]:
+    found = sorted((r["first_key"].encode("utf-8", "surrogatepass"), r["block"]) for r in entries.select("first_key", "block").collect())
+    return [x[0] for x in found], [x[1] for x in found]
+
+
 def look_up(keys: DataFrame, blocks: DataFrame, max_directory: int = MAX_DIRECTORY) -> DataFrame:
-    """(key, file, offset, length) of the distinct ``key`` values that the index holds."""
+    """(key, file, offset, length) of the distinct ``key`` values that the index holds.
+
+    Tasks search a sparse directory, then the block. The directory has an entry for
+    each block; where these are more than ``max_directory``, an entry for each run of
+    neighbouring blocks, and a key is searched in the run's entries before its block.
+    """
     ship(keys.sparkSession)
     schema = "key string, file string, offset bigint, length bigint"
     keys = keys.select("key").filter("key is not null").distinct()
-    directory = blocks.select("first_key", "block").take(max_directory + 1)
-
-    def as_batch(rows):
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "file", "offset", "length"])
-
-    def entry(r):
-        return (r[0], r[1], int(r[2]), int(r[3]))
-
-    if len(directory) > max_directory:
+    run_length = max(1, -(-blocks.count() // max_directory))
+    first = F.col("block") - F.pmod(F.pmod(F.col("block"), F.lit(PARTITION)), F.lit(run_length))
+    # max_directory entries, and one for each partition of the index, at most
+    firsts, numbers = _directory(blocks.filter(F.col("block") == first))
 
-        def decode(batches):
-            for b in batches:
-                yield as_batch([entry(r) for blob in b.column(0).to_pylist() for r in _entries(blob)[1]])
-
-        return blocks.select("blob").mapInArrow(decode, schema).join(keys, "key", "left_semi")
+    def place(names: list, firsts: list[bytes], numbers: list[int]) -> list[tuple]:
+        found = [bisect.bisect_right(firsts, k.encode("utf-8", "surrogatepass")) - 1 for k in names]
+        return [(k, numbers[i]) for k, i in zip(names, found, strict=True) if i >= 0]
 
-    pairs = sorted((r["first_key"].encode("utf-8", "surrogatepass"), r["block"]) for r in directory)
-    firsts, numbers = [p[0] for p in pairs], [p[1] for p in pairs]
+    def placed(here):
+        cols = list(zip(*here, strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["key", "block"])
 
     def assign(batches):
         for b in batches:
-            names = b.column(0).to_pylist()
-            found = [bisect.bisect_right(firsts, k.encode("utf-8", "surrogatepass")) - 1 for k in names]
-            here = [(k, numbers[i]) for k, i in zip(names, found, strict=True) if i >= 0]
-            cols = list(zip(*here, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], names=["key", "block"])
+            yield placed(place(b.column(0).to_pylist(), firsts, numbers))
 
+    asked = keys.mapInArrow(assign, "key string, block bigint")
+    if run_length > 1:
+
+        def assign_in_run(batches):
+            for b in batches:
+                here = []
+                for names, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    run = sorted((e["first_key"].encode("utf-8", "surrogatepass"), e["block"]) for e in run)
+                    here += place(names, [e[0] for e in run], [e[1] for e in run])
+                yield placed(here)
+
+        runs = blocks.groupBy(first.alias("block")).agg(F.collect_list(F.struct("first_key", "block")).alias("run"))
+        asked = asked.groupBy("block").agg(F.collect_list("key").alias("keys")).join(runs, "block")
+        asked = asked.select("keys", "run").mapInArrow(assign_in_run, "key string, block bigint")
     # distinct keys: a block is asked for its own entries at most once each
-    asked = keys.mapInArrow(assign, "key string, block bigint").groupBy("block").agg(F.collect_list("key").alias("keys"))
+    asked = asked.groupBy("block").agg(F.collect_list("key").alias("keys"))
 
     def search(batches):
         for b in batches:
@@ -252,14 +272,19 @@ def look_up(keys: DataFrame, blocks: DataFrame, max_directory: int = MAX_DIRECTO
                     raw = k.encode("utf-8", "surrogatepass")
                     i = bisect.bisect_left(names, raw)
                     if i < len(names) and names[i] == raw:
-                        out.append(entry(rows[i]))
-            yield as_batch(out)
+                        out.append((rows[i][0], rows[i][1], int(rows[i][2]), int(rows[i][3])))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "file", "offset", "length"])
 
     return blocks.select("block", "blob").join(asked, "block").select("blob", "keys").mapInArrow(search, schema)
 
 
 def read_ranges(located: DataFrame, path: str) -> DataFrame:
-    """(page, payload_bytes, payload_digest, payload) of the records at file, offset, length."""
+    """(page, payload_bytes, payload_digest, payload) of the records at file, offset, length.
+
+    Ranges are dealt by their bytes, neighbours to one task.
+    """
 
     def run(batches):
         store, where = _store(path)
@@ -276,11 +301,14 @@ def read_ranges(located: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page", "payload_bytes", "payload_digest", "payload"])
 
     ship(located.sparkSession)
-    return located.select("file", "offset", "length").mapInArrow(run, "page bigint, payload_bytes bigint, payload_digest string, payload binary")
+    located = written(located.select("file", "offset", "length"), "warc-ranges")
+    size = located.agg(F.sum("length")).first()[0] or 0
+    dealt = located.repartitionByRange(max(1, -(-size // RANGE_BYTES)), "file", "offset")
+    return dealt.mapInArrow(run, "page bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
 def read_archives(captures: DataFrame, path: str, batch: int = 200) -> DataFrame:
-    """Every record of the archives that ``captures`` names, read from start to end.
+    """Every record of the archives that ``captures`` names, read from start to end, each file by one task.
 
     page, url, record_type, refers_to, refers_url, payload_bytes and payload_digest of
     the payload that the record itself holds, and the digest in its header.
@@ -310,7 +338,11 @@ def read_archives(captures: DataFrame, path: str, batch: int = 200) -> DataFrame
                 yield as_batch(rows)
 
     ship(captures.sparkSession)
-    files = captures.select("file").distinct()
+    held = captures.groupBy("file").agg((F.max("offset") + F.max("length")).alias("bytes"))
+    facts = held.agg(F.count("*"), F.sum("bytes")).first()
+    # no more tasks than files, and none of many small files alone
+    parts = max(1, min(facts[0], max(-(-(facts[1] or 0) // READ_BYTES), captures.sparkSession.sparkContext.defaultParallelism)))
+    files = held.select("file").repartition(parts)
     schema = "page bigint, record_type string, refers_to bigint, refers_key string, payload_bytes bigint, payload_digest string, header_digest string"
     return files.mapInArrow(run, schema)
 
