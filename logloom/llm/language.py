@@ -23,7 +23,7 @@ from .common import table
 
 UNDETERMINED = "und"
 SEGMENT = 1024
-#: Bounds of the training sample: rows and characters of each language, longest row.
+#: Bounds of the training sample: rows and characters of each language, longest piece of a row.
 ROWS_PER_LANGUAGE = 128
 CHARS_PER_LANGUAGE = 32_768
 LONGEST_ROW = 20_000
@@ -124,7 +124,7 @@ class Model:
         for i, c in enumerate(seen):
             self.code[ord(c)] = i + 2
         self.symbols = len(seen) + 2
-        self.moves = [Moves(self.encode(text)[:CHARS_PER_LANGUAGE].tolist(), self.symbols) for _, text in samples]
+        self.moves = [Moves(self.encode(text).tolist(), self.symbols) for _, text in samples]
 
     def encode(self, text: str) -> np.ndarray:
         return self.code[_letters(text)]
@@ -194,19 +194,34 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(samples)
 
 
+def even_shares(texts: list[str], chars: int) -> list[str]:
+    """The texts, the longest ones cut to one common length so that all have at most ``chars`` characters."""
+    left, share = chars, 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - k)
+        if n > share:
+            break
+        left, share = left - n, n
+    return [t[:share] for t in texts]
+
+
 def sample(
     labelled: DataFrame,
     id_col: str,
     text_col: str,
     lang_col: str,
     rows: int = ROWS_PER_LANGUAGE,
+    chars: int = CHARS_PER_LANGUAGE,
     longest: int = LONGEST_ROW,
 ) -> tuple[tuple[str, str], ...]:
-    """(language, text) from up to ``rows`` rows a language, in a hashed order.
-
-    At most ``longest`` characters of a row serve, so what reaches the driver is bounded
-    by MAX_LANGUAGES * rows * longest. More languages than MAX_LANGUAGES are an error.
-    Rows without text or language are passed over.
+    """(language, text) of up to ``rows`` rows and ``chars`` characters a language, rows in a hashed order.
+
+    Every sampled row serves: where they have more than ``chars`` characters together
+    the longest are cut to one common length. At most ``longest`` characters of a row
+    are fetched, so what reaches the driver is bounded by MAX_LANGUAGES * rows *
+    longest. More rows or characters sharpen close languages and lengthen the time
+    that a task takes to build its automata. More languages than MAX_LANGUAGES are an
+    error. Rows without text or language are passed over.
     """
     fit = labelled.filter(F.col(lang_col).isNotNull() & (F.char_length(text_col) > 0))
     order = F.xxhash64(F.col(id_col).cast("string"))
@@ -227,7 +242,7 @@ def sample(
     for lang, key, text in sorted(got, key=lambda r: keys.get((r[0], r[1]), 0)):
         if (lang, key) in keys:
             texts.setdefault(lang, []).append(text)
-    return tuple((lang, "\n".join(texts[lang])[:CHARS_PER_LANGUAGE]) for lang in sorted(texts))
+    return tuple((lang, "\n".join(even_shares(texts[lang], chars))) for lang in sorted(texts))
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text_col: str = "text") -> DataFrame:
@@ -258,9 +273,9 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Samples of the rows that are not held out."""
-    return sample(docs.filter(~held_out(F.col(id_col))), id_col, text_col, lang_col)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds):
+    """Samples of the rows that are not held out; ``bounds`` as in sample()."""
+    return sample(docs.filter(~held_out(F.col(id_col))), id_col, text_col, lang_col, **bounds)
 
 
 def op8_cross_parsing(spark, sf_dir: str) -> DataFrame:
