@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import count_below, let, running, table, written
 
 #: The base patterns. Kinds in the order of the report.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,31 +52,18 @@ UPPER_P = 0.1
 def _spans(text: Column, pattern: str, kind: str, order: int) -> Column:
     """array of (start, end, order, kind, match): leftmost matches that do not overlap.
 
-    The pieces between matches come from the same scan as the matches, so their
-    lengths add up to the offsets.
+    The pieces between matches come from the same scan as the matches, so running sums
+    of their lengths are the offsets.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,end:int,order:int,kind:string,match:string>>")
-    step = lambda acc, m: F.struct(
-        (acc["i"] + 1).alias("i"),
-        (acc["at"] + F.get(acc["gaps"], acc["i"]) + F.char_length(m)).alias("at"),
-        acc["gaps"].alias("gaps"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.get(acc["gaps"], acc["i"])).alias("start"),
-                    (acc["at"] + F.get(acc["gaps"], acc["i"]) + F.char_length(m)).alias("end"),
-                    F.lit(order).alias("order"),
-                    F.lit(kind).alias("kind"),
-                    m.alias("match"),
-                )
-            ),
-        ).alias("out"),
+    # a gap and its match end where the match ends; the gap after the last match has none
+    ends = lambda g, m: running(F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda n, x: n + F.char_length(x)))
+    span = lambda m, e: F.struct(
+        (e - F.char_length(m)).alias("start"), e.alias("end"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), m.alias("match")
     )
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), gaps.alias("gaps"), empty.alias("out"))
-    all_spans = F.aggregate(found, start, step, lambda acc: acc["out"])
+    all_spans = let(found, lambda m: let(gaps, lambda g: F.zip_with(m, ends(g, m), span)))
     return F.when(text.rlike(pattern), all_spans).otherwise(empty)
 
 
@@ -245,12 +232,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         F.col(id_col).alias("_id"),
-        plain(F.concat(assigned, _spans(text, ACCESS, "access", 1), _spans(text, HEX, "hex", 2))).alias("base"),
+        F.array_sort(plain(F.concat(assigned, _spans(text, ACCESS, "access", 1), _spans(text, HEX, "hex", 2)))).alias("base"),
         _spans(text, TOKEN, "random", 3).alias("tokens"),
     )
     found = written(found, "secret-candidates")
-    hit = lambda t: F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))
-    each = found.select("_row", F.explode(F.transform("tokens", lambda t: F.struct(t.alias("s"), hit(t).alias("hit")))).alias("_s"))
+    # a token meets a base finding if one of those that start before its end reaches beyond its start
+    starts, reach = F.transform("base", lambda x: x["start"]), running(F.transform("base", lambda x: x["end"]), F.greatest)
+    hit = lambda t, b, r: F.coalesce(F.get(r, count_below(b, t["end"]) - 1) > t["start"], F.lit(False))
+    marked = let(starts, lambda b: let(reach, lambda r: F.transform("tokens", lambda t: F.struct(t.alias("s"), hit(t, b, r).alias("hit")))))
+    each = found.select("_row", F.explode(marked).alias("_s"))
     each = each.select("_row", "_s.hit", "_s.s.start", "_s.s.order", "_s.s.end", "_s.s.kind", F.col("_s.s.match").alias("token"))
     tested = test_tokens(each.filter("not hit").drop("hit")).withColumn("size_class", _class(F.col("n")))
     tested = written(tested, "secret-tokens")
@@ -268,21 +258,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     return found.join(added, "_row", "left").select(
         F.col("_id").alias(id_col),
-        F.array_sort("base").alias("base"),
+        "base",
         F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"),
     )
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by ``mark``; of overlapping spans the first counts in full."""
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit(mark)).alias("out"),
-        )
-    )
-    return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    before = lambda r, i: F.coalesce(F.get(r, i - 1), F.lit(0))
+    gap = lambda s, at: F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+    piece = lambda r: lambda s, i: F.when(s["end"] <= before(r, i), "").otherwise(F.concat(gap(s, before(r, i)), F.lit(mark)))
+    cut = lambda r: F.concat(F.array_join(F.transform(spans, piece(r)), ""), F.substring(text, before(r, F.size(r)) + 1, F.char_length(text)))
+    return let(reach, cut)
 
 
 def as_text(spans: Column) -> Column:

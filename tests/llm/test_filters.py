@@ -1,14 +1,17 @@
 """Secrets, decontamination and language identification."""
 
+import bisect
 import collections
 import hashlib
+import itertools
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
-from logloom.llm import decontamination, language, secrets
+from logloom.llm import common, decontamination, language, secrets
 
 BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -73,6 +76,32 @@ def test_battery_is_calibrated_and_defined_at_the_edges(spark):
 def test_redaction(spark):
     df = secrets.scan(spark.createDataFrame([(1, "é AKIA" + "A" * 16 + " end")], "doc_id int, text string")).withColumn("text", F.lit("é AKIA" + "A" * 16 + " end"))
     assert df.select(secrets.redact(F.col("text"), F.col("spans"))).first()[0] == "é [SECRET] end"
+    spans = "array<struct<start:int,end:int>>"
+    cases = [([], "0123456789"), ([(0, 2), (1, 5), (3, 4), (7, 9)], "[SECRET][SECRET]56[SECRET]9"), ([(8, 10)], "01234567[SECRET]")]
+    df = spark.createDataFrame([("0123456789", s, want) for s, want in cases], f"text string, spans {spans}, want string")
+    assert not df.filter(secrets.redact(F.col("text"), F.col("spans")) != F.col("want")).collect()
+
+
+def test_running_folds_equal_plain_ones(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 255, 256, 257, 1000):
+        xs = [rng.randrange(-50, 50) for _ in range(n)]
+        df = spark.createDataFrame([(xs,)], "xs array<int>")
+        r = df.select(common.running(F.col("xs")).alias("s"), common.running(F.col("xs"), F.greatest).alias("m")).first()
+        assert r.s == list(itertools.accumulate(xs)) and r.m == list(itertools.accumulate(xs, max))
+        ordered = sorted(xs)
+        df = spark.createDataFrame([(ordered, x) for x in (-60, -50, 0, 7, 60)], "xs array<int>, x int")
+        assert [r[1] for r in df.select("x", common.count_below(F.col("xs"), F.col("x"))).collect()] == [bisect.bisect_left(ordered, x) for x in (-60, -50, 0, 7, 60)]
+
+
+def test_a_text_of_very_many_tokens_takes_linear_time(spark):
+    rng = random.Random(8)
+    one = lambda: "".join(rng.choice(string.ascii_letters) for _ in range(24))
+    text = " ".join(f"token={one()}" if i % 2 else one() for i in range(100_000))
+    began = time.monotonic()
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert [tuple(x) for x in r.base] == base(text) and len(r.base) == 50_000
+    assert time.monotonic() - began < 120
 
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -162,6 +191,36 @@ def test_greedy_parse_counts_longest_matches():
     assert model.phrases([x])[:, 0].tolist() == [3, 9]  # abcab|cab|q against one phrase a character
 
 
+def test_parse_of_random_texts_equals_plain_longest_matches():
+    rng = random.Random(14)
+    one = lambda n: "".join(rng.choice("abé 日") for _ in range(n))
+    for _ in range(30):
+        samples = tuple((lang, one(rng.randint(1, 60))) for lang in "xyz")
+        model = language.Model(samples)
+        texts = [one(rng.randint(1, 40)) for _ in range(5)]
+        got = model.phrases([model.encode(t) for t in texts])
+        for k, (_, own) in enumerate(samples):
+            for n, t in enumerate(texts):
+                # letters that no sample has match nothing; other signs are spaces
+                at = count = 0
+                while at < len(t):
+                    size = 1
+                    while at + size < len(t) and t[at : at + size + 1] in own:
+                        size += 1
+                    at, count = at + size, count + 1
+                assert got[k, n] == count, (own, t)
+
+
+def test_every_sampled_row_has_an_even_share(spark):
+    assert language.even_shares(["aaaa", "b", "cccccc", "dd"], 9) == ["aaa", "b", "ccc", "dd"]
+    assert language.even_shares(["aa", "b"], 100) == ["aa", "b"] and language.even_shares([], 5) == []
+    assert language.even_shares(["aa", "bb", "cc"], 2) == ["", "", ""]
+    rows = [(i, "long text of one kind " * 500 if i < 2 else f"other words {i}", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    ((_, text),) = language.sample(df, "doc_id", "text", "lang", chars=2000)
+    assert len(text) <= 2040 and all(f"other words {i}" in text for i in range(2, 40))
+
+
 def test_every_letter_of_a_large_alphabet_counts(monkeypatch):
     rng = random.Random(8)
     groups = [[chr(0x4E00 + i) for i in range(600)], [chr(0x4E00 + i) for i in range(300, 900)], [chr(0x20000 + i) for i in range(500)]]
@@ -180,7 +239,7 @@ def test_every_letter_of_a_large_alphabet_counts(monkeypatch):
             count, at = 0, 0
             while at < len(x):
                 size = 1
-                while at + size < len(x) and x[at : at + size + 1] in sample[: language.CHARS_PER_LANGUAGE]:
+                while at + size < len(x) and x[at : at + size + 1] in sample:
                     size += 1
                 count, at = count + 1, at + size
             assert dense[lang, 20 * n] == count
