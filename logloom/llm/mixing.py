@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import totals_before
 from .common import bucket_count, hash_bucket, table, written
 
-ROWS_PER_BUCKET = 4000
+ROWS_PER_BUCKET = 500
 #: Most membership patterns the driver plans for; more is an error, not a cut.
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -145,13 +146,21 @@ def mix(
     taken 0 to ``repeats`` times: as often as its pattern's flow goes in full
     rounds, and once more for rows in the seeded order until the rest is used; of the
     row on that edge only the first words that fit are taken. Rows of size 0 take 0.
-    Ties and repeated rows are ordered by id and size. Empty tables give no rows.
+    The seeded order is by a hash of id and size, so rows that repeat an id (or have
+    none) are spread; only rows that repeat both lie together, ordered by id and size.
+    A ``taken`` column is replaced; other columns, whatever their names, are passed on.
+    Empty tables give no rows.
     """
     known = F.array_sort(F.transform(pattern_col, lambda x: F.coalesce(F.concat(F.lit("s"), x), F.lit("~"))))
-    rows = docs.withColumn("_pattern", F.to_json(F.array_distinct(known))).withColumn(
-        "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.to_json(F.array_distinct(known)).alias("_pattern"),
+        F.md5(F.concat(F.lit(f"{seed}:"), text(id_col), F.lit(":"), text(size_col)).cast("binary")).alias("_h"),
+        F.col(id_col).alias("_id"),
+        F.col(size_col).alias("_size"),
     )
-    per = rows.groupBy("_pattern").agg(F.sum(size_col).alias("words"), F.count("*").alias("rows")).take(MAX_PATTERNS + 1)
+    per = rows.groupBy("_pattern").agg(F.sum("_size").alias("words"), F.count("*").alias("rows")).take(MAX_PATTERNS + 1)
     if len(per) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     import json
@@ -170,16 +179,15 @@ def mix(
     buckets = bucket_count(sum(r["rows"] for r in per), rows_per_bucket)
     rows = rows.withColumn("_b", hash_bucket(F.col("_h"), buckets))
     key = ["_pattern", "_b"]
-    sums = rows.groupBy(*key).agg(F.sum(size_col).alias("_sum"))
-    before = Window.partitionBy("_pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    sums = totals_before(rows.groupBy(*key).agg(F.sum("_size").alias("_sum")), ["_pattern"], "_b", "_sum", "_before").drop("_sum")
     # one row per pattern, MAX_PATTERNS at most
     sums = sums.join(F.broadcast(takes_df), "_pattern")
-    inside = Window.partitionBy(*key).orderBy("_h", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_in", F.coalesce(F.sum(size_col).over(inside), F.lit(0))).join(sums, key)
+    inside = Window.partitionBy(*key).orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, key)
     left = F.greatest(F.col("_rest") - F.col("_before") - F.col("_in"), F.lit(0))
-    out = out.withColumn("taken", F.col(size_col) * F.col("_full") + F.least(F.col(size_col), left))
-    return out.drop("_pattern", "_h", "_b", "_in", "_before", "_full", "_rest"), quotas
+    taken = F.col("_size") * F.col("_full") + F.least(F.col("_size"), left)
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != "taken"]
+    return out.select(*own, taken.alias("taken")), quotas
 
 
 def by_source_weights(totals: dict, weights: tuple[int, ...] = (3, 1, 2)) -> dict:

@@ -15,7 +15,7 @@ v AS (SELECT arg_min(level, k) AS level FROM l WHERE level <= 2 * source_size /
 t AS (SELECT source, source_size, CAST(least(2 * source_size, coalesce(level, 1e300) * w) AS DOUBLE) AS target FROM s, v),
 f AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal FROM t),
 r AS (SELECT d.*, f.source_size, f.target, CASE WHEN f.source_size > 0 THEN goal // f.source_size ELSE 0 END AS full_, CASE WHEN f.source_size > 0 THEN goal % f.source_size ELSE 0 END AS rest,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('logloom:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('logloom:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, CAST(size * full_ + least(size, greatest(rest - before, 0)) AS BIGINT) AS taken FROM r"""
 
@@ -44,9 +44,10 @@ SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sh
 
 #: 3988292384 is the reversed polynomial of CRC-32.
 OP6 = """WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT) AS c FROM range(256) r(i))),
-b AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, md5('logloom:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+b AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
   list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST(CAST('0x' || x AS INT) AS BIGINT)) AS bytes FROM documents),
-c AS (SELECT doc_id, source, size, h, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM b, tbl),
+k AS (SELECT doc_id, source, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM b, tbl),
+c AS (SELECT *, md5('logloom:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS h FROM k),
 f AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS f FROM c),
 p AS (SELECT *, row_number() OVER (ORDER BY f, source IS NULL, source, h, doc_id, text_crc32, size) - 1 AS p, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p * 16 // n AS INT) AS shard, p - (p * 16 // n * n + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""

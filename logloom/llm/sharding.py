@@ -6,8 +6,8 @@ are cut into shards of equal row counts. Every stretch of that order, and so
 every shard, holds the sources in the proportions of the whole.
 
 No window covers a source or the whole table: ranks come from hash buckets of
-bounded size plus the running counts of the bucket table. Text is read once for
-its size and checksum and is never shuffled.
+bounded size plus the running counts of the bucket table, summed in two levels. Text
+is read once for its size and checksum and is never shuffled.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, hash_bucket, table, written
+from ..operators.ranking import totals_before
+from .common import bucket_count, forget, hash_bucket, table, written
 
-ROWS_PER_BUCKET = 4000
+ROWS_PER_BUCKET = 500
 
 
 def interleave(
@@ -35,65 +36,44 @@ def interleave(
     ``keep`` names further columns to carry along. Shard row counts differ by one
     at most; ``slot`` numbers a shard's rows from 0 without gaps. Null sources form
     one stratum of their own; a null text has size 1 and the checksum of no bytes;
-    a null id is ordered like the empty string. Repeated rows get a place each.
+    a null id is ordered like the empty string. The seeded order is by a hash of id
+    and checksum, so rows that repeat an id, or have none, are spread; only those that
+    repeat the text too lie together. Repeated rows get a place each.
     An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    crc = F.crc32(text.cast("binary"))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         (F.octet_length(text).cast("bigint") + F.lit(1)).alias("_size"),
-        F.crc32(text.cast("binary")).alias("_crc"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_h"),
+        crc.alias("_crc"),
         *[F.col(c).alias(f"_k_{c}") for c in keep],
     )
-    total = docs.count()
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.col("_crc").cast("string"))
+    known = {"_h": F.md5(name.cast("binary")), "_null": F.col("_source").isNull(), "_s": F.coalesce("_source", F.lit(""))}
+    stored = rows = written(rows.withColumns(known), "shard-rows")
+    total = rows.count()
     buckets = bucket_count(total, rows_per_bucket)
     rows = rows.withColumn("_b", hash_bucket(F.col("_h"), buckets))
     ties = ["_h", "_id", "_crc", "_size"]
 
     # rank within the source: place in the hash bucket + rows in the buckets before
-    known = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = rows.withColumns({"_null": F.col("_source").isNull(), "_s": known("_source")})
     key = ["_null", "_s", "_b"]
-    counts = (
-        docs.select(
-            F.col(source_col).isNull().alias("_null"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("_s"),
-            hash_bucket(
-                F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")),
-                buckets,
-            ).alias("_b"),
-        )
-        .groupBy(*key)
-        .agg(F.count("*").alias("_n"))
-    )
-    in_source = Window.partitionBy("_null", "_s")
-    before = in_source.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *key,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(in_source).alias("_of"),
-    )
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    sums = counts.groupBy("_null", "_s").agg(F.sum("_n").alias("_of"))
+    offsets = totals_before(counts, ["_null", "_s"], "_b", "_n", "_before").drop("_n").join(sums, ["_null", "_s"])
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*ties))).join(offsets, key)
     ranked = ranked.withColumn(
         "_f", (2 * (F.col("_before") + F.col("_rn")) - 1).cast("double") / (2 * F.col("_of")).cast("double")
     ).withColumn("_fb", F.floor(F.col("_f") * buckets).cast("int"))
     ranked = written(ranked.drop("_rn", "_before", "_of", "_b"), "shard-ranks")
+    forget(stored)
 
     # place in the whole order, in the same way over buckets of the fraction
-    starts = (
-        ranked.groupBy("_fb")
-        .agg(F.count("*").alias("_n"))
-        .select(
-            "_fb",
-            F.coalesce(
-                F.sum("_n").over(Window.orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_start"),
-        )
-    )
+    starts = totals_before(ranked.groupBy("_fb").agg(F.count("*").alias("_n")), [], "_fb", "_n", "_start").drop("_n")
     order = Window.partitionBy("_fb").orderBy("_f", "_null", "_s", *ties)
     placed = ranked.withColumn("_rn", F.row_number().over(order)).join(starts, "_fb")
     placed = placed.withColumn("_p", F.col("_start") + F.col("_rn") - 1)
