@@ -18,13 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import range_of
 from .common import table
 
 SAMPLES = 48
 STEPS = 1024
 ROWS_PER_RANGE = 1000
-#: Ranges of ids that are told apart at most.
-MAX_CELLS = 65_536
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -65,49 +64,30 @@ def weighted_terms(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _ranges(docs: DataFrame, id_col: str, rows_per_range: int) -> tuple[Column, Column, int]:
-    """Range of an id, the range that also needs the row (or null), and the number of ranges.
-
-    At most MAX_CELLS equal cells of the ids are counted; neighbouring cells make up
-    a range of about ``rows_per_range`` rows.
-    """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    if not n:
-        return F.lit(0), F.lit(None).cast("int"), 1
-    cells = min(MAX_CELLS, 4 * max(1, -(-n // rows_per_range)), high - low + 1)
-    width = -(-(high - low + 1) // cells)
-    cell = F.expr(f"cast(({id_col} - {low}L) div {width} as int)") if low >= 0 else F.floor((F.col(id_col) - low) / width).cast("int")
-    found = sorted(
-        tuple(r) for r in docs.filter(F.col(id_col).isNotNull()).groupBy(cell.alias("c")).agg(F.count("*"), F.max(id_col)).collect()
-    )  # MAX_CELLS rows at most
-    target, at, before = [0] * (cells + 1), 0, 0
-    tops: list[int] = []
-    for c, k, top in found:
-        if tops and before >= rows_per_range:
-            at, before = at + 1, 0
-        if at == len(tops):
-            tops.append(top)
-        tops[at], target[c], before = top, at, before + k
-    as_column = lambda xs, kind: F.from_json(F.lit(str(xs)), f"array<{kind}>")
-    of = F.get(as_column(target, "int"), cell)
-    above = F.when(F.col(id_col) == F.get(as_column(tops, "bigint"), of), (of + 1) % len(tops))
-    return of, above, len(tops)
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Rows (range, place, guest, id, text, next_text) in descending id order.
 
-    The largest row of a range is also a guest of the range above, whose last row it
-    follows; the largest of all is a guest of the lowest range. Each text is shuffled
-    once. Null ids come after all others, in one range.
+    Rows are dealt into ranges of ids, parted further by the hash of the text where an
+    id repeats. The largest row of a range is also a guest of the range above, whose
+    last row it follows; the largest of all is a guest of the lowest range. Each text
+    is shuffled once. Null ids come after all others.
     """
-    of, above, _ = _ranges(docs, id_col, rows_per_range)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), of.alias("_r"), above.alias("_a"))
-    own = F.struct(F.coalesce("_r", F.lit(0)).alias("range"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("_a").alias("range"), F.lit(1).alias("guest"))
-    rows = rows.withColumn("_to", F.explode(F.when(F.col("_a").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    rows = rows.select("_to.range", "_to.guest", "id", "text")
-    order = Window.partitionBy("range").orderBy("guest", F.desc("id"), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    keys = rows.select("id", "hash")
+    rows = rows.withColumn("_r", range_of(keys, [F.col("id"), F.col("hash")], rows_per_range))
+    key = F.struct("id", "hash")
+    # a row for each range
+    tops = keys.withColumn("_r", range_of(keys, [F.col("id"), F.col("hash")], rows_per_range))
+    tops = tops.groupBy("_r").agg(F.max(key).alias("top")).orderBy("_r").select(F.to_json("top")).collect()
+    ranges = max(1, len(tops))
+    top = F.get(F.from_json(F.lit("[" + ",".join(r[0] for r in tops) + "]"), "array<struct<id:bigint,hash:bigint>>"), F.col("_r"))
+    is_top = F.col("id").eqNullSafe(top["id"]) & (F.col("hash") == top["hash"])
+    own = F.struct(F.col("_r").alias("range"), F.lit(0).alias("guest"))
+    guest = F.struct(((F.col("_r") + 1) % ranges).alias("range"), F.lit(1).alias("guest"))
+    rows = rows.withColumn("_to", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))))
+    rows = rows.select("_to.range", "_to.guest", "id", "hash", "text")
+    order = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.desc("hash"), "text")
     return rows.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)})
 
 
@@ -117,8 +97,9 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text is the text whose last floor(n/2) code points are replaced by the
     first as many (or all) of the next row's, in descending id order; the row after
     the last is the first. Null texts are empty; texts without words share one
-    fingerprint. Rows that repeat an id follow each other by text. The id must be an
-    integer. An empty table gives no rows.
+    fingerprint. Rows that repeat an id follow each other by the hash of their text,
+    downwards; only rows that repeat the text too share a range however many they are.
+    The id must be an integer; null ids come last. An empty table gives no rows.
     """
     rows = with_next(docs, id_col, text_col, rows_per_range)
     half = F.floor(F.col("n_chars") / 2).cast("int")

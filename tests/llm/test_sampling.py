@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import mixing, sharding, warc, weighted
 from logloom.llm.queries import QUERIES
@@ -29,16 +31,15 @@ def test_shards_follow_the_mixture(docs, none, raw):
 
 
 def test_shards_equal_a_plain_ranking(docs, raw):
-    rows = [r for r in raw if r[0] is not None]
-    h = {r[0]: hashlib.md5(f"logloom:{r[0]}".encode()).hexdigest() for r in rows}
+    md5 = lambda i, crc: hashlib.md5(f"logloom:{i}:{crc}".encode()).hexdigest()
     out = sharding.interleave(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), 4, rows_per_bucket=3).collect()
     groups = collections.defaultdict(list)
     for r in out:
         groups[r.source].append(r)
     order = []
     for source, g in groups.items():
-        for i, r in enumerate(sorted(g, key=lambda r: h[r.doc_id])):
-            order.append(((2 * i + 1) / (2 * len(g)), source is None, source or "", h[r.doc_id], r))
+        for i, r in enumerate(sorted(g, key=lambda r: md5(r.doc_id, r.text_crc32))):
+            order.append(((2 * i + 1) / (2 * len(g)), source is None, source or "", md5(r.doc_id, r.text_crc32), r))
     order = [x[-1] for x in sorted(order, key=lambda x: x[:-1])]
     assert [r.shard for r in order] == [i * 4 // len(order) for i in range(len(order))]
 
@@ -100,18 +101,49 @@ def test_collision_rate_is_the_generalised_jaccard(spark):
     assert max(map(abs, errors)) < 0.16
 
 
-def test_weighted_edges(docs, none, raw):
-    out = weighted.fingerprint_pairs(docs, samples=4, rows_per_range=6).collect()
-    assert collections.Counter(str(r.doc_id) for r in out) == collections.Counter(str(r[0]) for r in raw)
-    rows = sorted(((r[0], r[1] or "") for r in raw if r[0] is not None), key=lambda r: (-r[0], r[1]))
-    want = collections.Counter()
-    everyone = rows + sorted((None, r[1] or "") for r in raw if r[0] is None)
-    known = {(i, hashlib.sha256((t[: len(t) - len(t) // 2] + everyone[(k + 1) % len(everyone)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(everyone)}
-    assert len({(r.doc_id, r.edited_sha256) for r in out if r.doc_id is not None} - known) <= 1  # null ids stand apart
-    assert not want
+def edited_by_rank(rows):
+    """Rows (id, text) in descending order with the edited text of each; ``rows`` hold their text's hash."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -r[2], r[1]))
+    for k, (i, t, _) in enumerate(order):
+        yield i, t, t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]
+
+
+@pytest.mark.parametrize("rows_per_range", [1, 6, 1000])
+def test_weighted_edges(docs, none, rows_per_range):
+    out = weighted.fingerprint_pairs(docs, samples=4, rows_per_range=rows_per_range).collect()
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    want = collections.Counter((str(i), len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, e in edited_by_rank([tuple(r) for r in hashed]))
+    assert collections.Counter((str(r.doc_id), r.n_chars, r.edited_sha256) for r in out) == want
     assert weighted.fingerprint_pairs(none, samples=4).count() == 0
 
 
+def test_draws_equal_plain_arithmetic(spark):
+    texts = ["a b a C c c", "one two two", "", "é \t x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.marks for r in weighted.fingerprint_pairs(df, samples=3).collect()}
+    gamma = [round(weighted._gamma_quantile((i + 0.5) / weighted.STEPS), 6) for i in range(weighted.STEPS)]
+    for i, t in enumerate(texts):
+        terms = collections.Counter(t.lower().split()) or {None: 1}
+        # a text without words draws from the null term
+        term = F.when(F.col("w").isNotNull(), F.xxhash64("w"))
+        hashes = spark.createDataFrame([(w,) for w in terms], "w string").select("w", *[F.xxhash64(term, F.lit(d)).alias(f"h{d}") for d in range(3)]).collect()
+        for d in range(3):
+            draws = []
+            for r in hashes:
+                h = r[f"h{d}"] % 2**64
+                gr, gc, b = gamma[h >> 54], gamma[h >> 44 & 1023], ((h >> 24 & 0xFFFFF) + 0.5) / 2**20
+                level = math.floor(math.log(terms[r.w]) / gr + b)
+                draws.append((math.log(gc) - gr * (level - b + 1), (r[f"h{d}"] + level * 0x9E3779) & 0xFFFF))
+            assert got[i][d] == min(draws)[1]
+
+
+def test_ranges_stay_small_with_outliers_and_nulls(spark):
+    few = [(i if i < 19_000 else None, f"text {i}") for i in range(20_000)] + [(10**15, "far")] + [(77, f"again {i}") for i in range(5000)]
+    df = spark.createDataFrame(few, "doc_id bigint, text string")
+    sizes = [r[1] for r in weighted.with_next(df, "doc_id", "text", 1000).groupBy("range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 3000
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(1)
     long = ["<html>" + "".join(rng.choice("abc é") for _ in range(1500)) for _ in range(3)]
@@ -137,12 +169,34 @@ def test_index_look_up(spark, tmp_path):
     captures = warc.write_archives(warc.roles(pages, "page_id", "url", "html"), path, file_bytes=2000)
     blocks = warc.build_index(captures, block_records=16)
     keys = spark.createDataFrame([(warc.capture_key("http://h3.org/3", 3),), ("zzz",), ("",), (None,)], "key string")
-    for bound in (1_000_000, 0):  # the directory, and the decoded index
+    for bound in (1_000_000, 4, 1):  # an entry a block, and entries for runs of blocks
         located = warc.look_up(keys, blocks, max_directory=bound)
         assert [(r.page, bytes(r.payload)) for r in warc.read_ranges(located, path).collect()] == [(3, b"body 3")]
+    everything = captures.select("key")
+    for bound in (1_000_000, 4, 1):
+        assert warc.look_up(everything, blocks, max_directory=bound).select("key").distinct().count() == 300
     assert warc.url_key("http://WWW.Example.com:8080/a?b#c") == "com,example,www:8080)/a?b"
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"body {i} " * 200) for i in range(60)], "page_id bigint, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    captures = warc.write_archives(warc.roles(pages.repartition(4), "page_id", "url", "html"), path, file_bytes=2000)
+    files = captures.select("file").distinct().count()
+    records = warc.read_archives(captures, path)
+    assert files >= 4 and records.rdd.getNumPartitions() == min(files, spark.sparkContext.defaultParallelism)
+    assert records.count() == 60
+
+
+def test_warc_takes_repeated_and_null_ids_and_long_payloads(spark):
+    long, other = "é" * 700_000, "y" * 1200
+    rows = [(1, "http://a/", long), (1, "http://b/", long), (2, "http://a/", long), (None, "http://a/", long), (None, None, other), (3, "", other), (3, "u", "short")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(df).collect())
+    # a null id is never the one referred to, nor a revisit
+    assert out == sorted([("1", 1_400_000, "revisit", 2)] * 2 + [("2", 1_400_000, "response", None), ("None", 1_400_000, "response", None), ("None", 1200, "response", None), ("3", 1200, "response", None), ("3", 5, "response", None)])
+
+
 def test_pipeline_stages_take_awkward_rows(spark, docs, tmp_path):
     import corpus_pipeline
 
