@@ -51,17 +51,18 @@ def range_of(rows: DataFrame, order: list[Column], rows_per_range: int, count: i
 
 def totals_before(counts: DataFrame, key: list[str], order: str, value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` in the rows of the key with a smaller ``order``, an integer that is unique in the key."""
-    block = F.floor(F.col(order) / BLOCK).alias("_block")
-    sums = counts.groupBy(*key, block).agg(F.sum(value).alias("_sum"))
+    block = F.floor(F.col(order) / BLOCK).alias("_tb_block")
+    sums = counts.groupBy(*key, block).agg(F.sum(value).alias("_tb_sum"))
     by_key = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_block").alias("_kb"), F.coalesce(F.sum("_sum").over(ahead(by_key.orderBy("_block"))), F.lit(0)).alias("_outer"))
-    inside = ahead(Window.partitionBy(*key, "_block").orderBy(order))
-    rows = counts.withColumn("_block", block).withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = F.col("_block") == F.col("_kb")
+    outer = F.coalesce(F.sum("_tb_sum").over(ahead(by_key.orderBy("_tb_block"))), F.lit(0)).alias("_tb_outer")
+    sums = sums.select(*[F.col(c).alias(f"_tb_key_{c}") for c in key], F.col("_tb_block").alias("_tb_of"), outer)
+    inside = ahead(Window.partitionBy(*key, "_tb_block").orderBy(order))
+    rows = counts.withColumn("_tb_block", block).withColumn("_tb_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col("_tb_block") == F.col("_tb_of")
     for c in key:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return rows.join(sums, same).select(*counts.columns, (F.col("_outer") + F.col("_inner")).alias(name))
+        same = same & F.col(c).eqNullSafe(F.col(f"_tb_key_{c}"))
+    return rows.join(sums, same).select(*counts.columns, (F.col("_tb_outer") + F.col("_tb_inner")).alias(name))
 
 
 def first_rows(rows: DataFrame, key: list[str], offset: str, limit: Column, rows_per_range: int = 100_000) -> DataFrame:
