@@ -161,6 +161,7 @@ def delete_queue(queues: DataFrame, name: str) -> DataFrame:
 
 def alias_topics(publishes: DataFrame) -> DataFrame:
     """The topic of each publish: its own, or the last one set for its connection's alias."""
+    # a connection has its aliases to itself and numbers them from 1 to its maximum
     w = Window.partitionBy("connection", "alias").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("topic") != "", F.col("topic"))
     return publishes.withColumn("resolved", F.when(F.col("alias").isNull(), own).otherwise(F.last(own, ignorenulls=True).over(w)))
@@ -172,6 +173,90 @@ def first_packets(packets: DataFrame, key: list[str], order: str = "seq") -> Dat
     return packets.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def delete_queues(queues: DataFrame, names: DataFrame) -> DataFrame:
+    """Without the named queues, but for reserved ones."""
+    gone = queues.filter(~F.col("reserved")).join(names.select("queue").distinct(), "queue", "left_semi").select("queue")
+    return queues.join(gone, "queue", "left_anti")
+
+
+def management_query(queues: DataFrame, attributes: list[str], equal: dict | None = None) -> DataFrame:
+    """The named attributes of the queues that have the given values."""
+    for column, value in (equal or {}).items():
+        queues = queues.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return queues.select(*attributes)
+
+
+def sys_counters(facts: DataFrame, version: str = "1.0") -> DataFrame:
+    """The seventeen counters of a broker from one row of facts; names are topics, __ stands for a slash.
+
+    Facts: up (seconds), connected, total, received, sent, bytes, sent_bytes, subscriptions,
+    retained, errors. Errors of authentication, authorization and packets are 0 where
+    facts don't tell them (auth_errors, authz_errors, packet_errors).
+    """
+    known = lambda c: F.col(c) if c in facts.columns else F.lit(0)
+    return facts.select(
+        F.lit(version).alias("version"), F.col("up").alias("uptime"), F.col("connected").alias("clients__connected"), F.col("total").alias("clients__total"), (F.col("total") - F.col("connected")).alias("clients__disconnected"),
+        F.col("received").alias("messages__received"), F.col("sent").alias("messages__sent"), F.col("received").alias("messages__publish__received"), F.col("sent").alias("messages__publish__sent"),
+        F.col("bytes").alias("bytes__received"), F.col("sent_bytes").alias("bytes__sent"), F.col("subscriptions").alias("subscriptions__count"), F.col("retained").alias("retained__count"),
+        F.col("errors").alias("errors__protocol"), known("auth_errors").alias("errors__auth"), known("authz_errors").alias("errors__authz"), known("packet_errors").alias("errors__packet"),
+    )
+
+
+def get_or_create(queues: DataFrame, wanted: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """The queues, and those in ``wanted`` (queue, ...) that don't exist, with ``defaults`` in the columns that wanted lacks.
+
+    Adds created. A queue that is asked for twice is created once.
+    """
+    new = wanted.dropDuplicates(["queue"]).join(queues.select("queue"), "queue", "left_anti")
+    new = new.select(*[F.col(c) if c in wanted.columns else defaults[c].alias(c) for c in queues.columns], F.lit(True).alias("created"))
+    return queues.withColumn("created", F.lit(False)).unionByName(new)
+
+
+def of_nodes(tables: dict[str, DataFrame], order: list[str]) -> DataFrame:
+    """Listings of several nodes one after the other, with their node, in order; rows on two nodes stay twice."""
+    out = None
+    for node, df in tables.items():
+        one = df.withColumn("node", F.lit(node))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(*order)
+
+
+def overview(sessions: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """One row: sessions connected and in all, and the row counts of other tables by name."""
+    out = sessions.agg(F.count_if("connected").alias("connected"), F.count("*").alias("sessions"))
+    for name, df in counts.items():
+        out = out.join(F.broadcast(df.agg(F.count("*").alias(name))))  # one row each
+    return out
+
+
+def message_metrics(rows: DataFrame, attribute: str, size: Column, bounds: list[float]) -> DataFrame:
+    """Messages, bytes and a histogram of sizes by attribute: counts up to each bound, the last beyond all."""
+    upto = F.array(*[F.lit(float(x)) for x in bounds])
+    bucket = F.size(F.filter(upto, lambda b: b < size))  # a size equal to a bound is within it
+    counts = [F.count_if(F.col("_bucket") == i) for i in range(len(bounds) + 1)]
+    out = rows.select(F.col(attribute), size.alias("_size"), bucket.alias("_bucket"))
+    return out.groupBy(attribute).agg(F.count("*").alias("messages"), F.sum("_size").alias("bytes"), F.array(*counts).alias("histogram"))
+
+
+def within_qos(publishes: DataFrame, most: Column) -> DataFrame:
+    """Publishes at or below the maximum that was agreed on; others are rejected."""
+    return publishes.filter(F.col("qos") <= most)
+
+
+def subscriptions_by(subscriptions: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Subscriptions whose client_id or filter is one of ``values``, letter by letter."""
+    return subscriptions.join(values.select(column).distinct(), column, "left_semi")
+
+
+def authorized_subscriptions(subscribes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``allowed``: a rule (client_id, filter, prefix, allow) for the filter, or for how it starts, allows it and none denies it."""
+    rule = rules.select("client_id", F.col("filter").alias("_f"), "prefix", "allow")
+    fits = F.when(F.col("prefix"), F.col("filter").startswith(F.col("_f"))).otherwise(F.col("filter") == F.col("_f"))
+    found = subscribes.select("client_id", "filter").distinct().join(rule, "client_id").filter(fits)
+    found = found.groupBy("client_id", "filter").agg(F.min("allow").alias("allowed"))
+    return subscribes.join(found, ["client_id", "filter"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
 def apply_hooks(publishes: DataFrame, decide, fail_open: bool = False) -> DataFrame:
     """Publishes after a blocking hook, in batches: denied ones go, rewritten ones change.
 

@@ -21,6 +21,25 @@ def lag(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"group": group_name(), "lag": F.greatest(F.col("tail") - F.col("committed"), F.lit(0))})
 
 
+def of_queue(groups: DataFrame, queue: str) -> DataFrame:
+    return groups.filter(F.col("queue") == queue)
+
+
+def create(groups: DataFrame, wanted: DataFrame, limits: DataFrame) -> DataFrame:
+    """The groups, and new ones from ``wanted`` (queue, group) at the head of their queue; an existing group stays, one without a queue isn't made."""
+    new = wanted.select("queue", "group").distinct().join(groups.select("queue", "group"), ["queue", "group"], "left_anti")
+    new = new.join(limits.select("queue", "head"), "queue").select("queue", "group", F.col("head").alias("cursor"), F.col("head").alias("committed"))
+    return groups.select("queue", "group", "cursor", "committed").unionByName(new)
+
+
+def pending_of(pending: DataFrame, queue: str, group: str | None = None, consumer: str | None = None) -> DataFrame:
+    """Pending entries of a queue, or of one group or consumer of it."""
+    rows = pending.filter(F.col("queue") == queue)
+    for column, value in (("group", group), ("consumer", consumer)):
+        rows = rows if value is None else rows.filter(F.col(column) == value)
+    return rows
+
+
 def pending_summary(pending: DataFrame) -> DataFrame:
     return pending.groupBy("queue", "group").agg(F.count("*").alias("n_pending"), F.min("offset").alias("min_pending"))
 
@@ -61,16 +80,6 @@ def ack_floor(groups: DataFrame, pending: DataFrame) -> DataFrame:
     return g.join(gap, ["queue", "group"], "left").withColumn("ack_floor", new).drop("_gap")
 
 
-def consumed_rows(groups: DataFrame, log: DataFrame, limit: int, as_of: str) -> DataFrame:
-    """The next ``limit`` live rows of each group from its cursor whose routing key it takes."""
-    g = groups.withColumn("group", group_name()).select("queue", "group", "pattern", "cursor")
-    rows = log.join(g, "queue").filter((F.col("offset") >= F.col("cursor")) & (F.col("expires_at") >= F.lit(as_of).cast("timestamp")))
-    key = t.routing_key(F.col("topic"), t.queue_topic(F.col("queue")))
-    rows = rows.filter(t.routing_key_match(F.col("pattern"), key))
-    place = F.row_number().over(Window.partitionBy("queue", "group").orderBy("offset"))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit)
-
-
 def primary_progress(groups: DataFrame, primary: str) -> DataFrame:
     """Stream groups with the committed offset of the queue's primary work group of the same pattern."""
     work = groups.filter(F.col("group_id") == primary).filter("mode = 'queue'").select("queue", "pattern", F.col("committed").alias("work_committed"))
@@ -114,18 +123,14 @@ def redelivery_batches(rows: DataFrame) -> DataFrame:
     return rows.groupBy("queue", "group", "shard").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
 
-def shard_assignments(spark, nodes: list[str], shards: int = PEL_SHARDS) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in nodes])
-    rows = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.get(names, (F.col("id") % len(nodes)).cast("int")).alias("node"))
+def shard_assignments(nodes: DataFrame, shards: int = PEL_SHARDS) -> DataFrame:
+    """node, shards: shard i belongs to the node in place i modulo their number, nodes in order of name. Nodes are the few of a cluster."""
+    one = nodes.select("node").distinct().agg(F.sort_array(F.collect_list("node")).alias("_n"))
+    rows = one.select("_n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    rows = rows.select("shard", F.get("_n", F.col("shard") % F.size("_n")).alias("node"))
     return rows.groupBy("node").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
 
 
-def claim(pending: DataFrame, log: DataFrame, queue: str, consumer: str, as_of: str, idle_s: int, limit: int = 10) -> DataFrame:
-    """Idle entries of other consumers with their messages, in offset order; truncated ones vanish."""
-    rows = stealable(pending.filter(F.col("queue") == queue), consumer, as_of, idle_s).orderBy("group", "offset").limit(limit or 10)
-    return rows.join(log.select("queue", "offset", "topic", "payload"), ["queue", "offset"])
-
-
 def by_node(consumers: DataFrame, own: str) -> DataFrame:
     return consumers.withColumn("remote", F.col("node") != own)
 
@@ -168,7 +173,13 @@ def consumer_metrics(claims: DataFrame) -> DataFrame:
     )
 
 
-def high_water(sizes: DataFrame, order: str = "seq") -> DataFrame:
-    """Running maximum of pel_size by queue and group."""
-    w = Window.partitionBy("queue", "group").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("high_water", F.max("pel_size").over(w))
+def high_water(sizes: DataFrame, order: str = "seq", rows_per_range: int = 200_000) -> DataFrame:
+    """Running maximum of pel_size by queue and group, over ranges of ``order`` (an integer)."""
+    key = ["queue", "group"]
+    part = F.floor(F.col(order) / rows_per_range).alias("_part")
+    tops = sizes.groupBy(*key, part).agg(F.max("pel_size").alias("_top"))
+    ahead = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*key, "_part", F.max("_top").over(ahead).alias("_ahead"))
+    inside = Window.partitionBy(*key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sizes.withColumn("_part", part).withColumn("_in", F.max("pel_size").over(inside)).join(tops, [*key, "_part"])
+    return rows.withColumn("high_water", F.greatest("_in", "_ahead")).drop("_part", "_in", "_ahead")

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import topics as t
 from ..functions import values as v
-from ..operators import admin, groups, log, routing
+from ..operators import admin, consumers, groups, log, routing
 from ..session import shared_path
 from ..sources import tables as s
 from ..streaming import io, state
-from .base import AS_OF, SQL, Base, values
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-long = lambda c: F.col(c).cast("bigint").alias(c)
-micros = lambda c: F.unix_micros(c).alias(c)
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Base], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Base(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = SQL + sql
-        return f
-
-    return add
+from .base import AS_OF, ORACLE_SQL, QUERIES, Base, long, micros, query, values
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # log reads
 
@@ -176,18 +159,13 @@ def auto_create_targets(b: Base):
     return routing.publish_targets(b.publishes, some).groupBy("queue", "created").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT seq, queue FROM (SELECT DISTINCT seq, unnest(['errors', CASE WHEN seq % 2 = 0 THEN 'all' ELSE 'errors' END]) AS queue FROM publishes WHERE seq % 100 = 0)""")
-def forced_targets(b: Base):
-    return _forced(b, b.publishes.filter("seq % 100 = 0"))
-
-
 def _forced(b: Base, publishes: DataFrame) -> DataFrame:
     listed = F.when(F.col("seq") % 2 == 0, "errors, all,nowhere").otherwise("errors,,errors")
     return routing.forced_targets(publishes, listed, s.queues(b.spark)).select("seq", "queue")
 
 
 @query("""SELECT seq, queue FROM (SELECT DISTINCT seq, unnest(['errors', CASE WHEN seq % 2 = 0 THEN 'all' ELSE 'errors' END]) AS queue FROM publishes)""")
-def forced_targets_all(b: Base):
+def forced_targets(b: Base):
     return _forced(b, b.publishes)
 
 
@@ -214,12 +192,6 @@ def shared_round_robin(b: Base):
     return _fan(b).filter(t.is_shared(F.col("filter"))).select("subscriber", "seq")
 
 
-@query("""SELECT p.seq, s.client_id, arg_max(s.filter, s.qos * 1000 + CASE s.filter WHEN 'events/click/+' THEN 2 WHEN 'events/#' THEN 1 ELSE 0 END) AS filter, CAST(max(s.qos) AS BIGINT) AS qos
-FROM publishes p JOIN subscriptions s ON s.client_id = 'u1' AND regexp_full_match(p.topic, replace(replace(s.filter, '+', '[^/]*'), '/#', '(/.*)?')) GROUP BY ALL""")
-def subscription_effective_qos(b: Base):
-    return _effective_qos(b, s.subscriptions(b.spark).filter("client_id = 'u1'"))
-
-
 def _effective_qos(b: Base, subscriptions: DataFrame) -> DataFrame:
     subs = subscriptions.select("client_id", "filter", F.col("qos"))
     matched = routing.match_filters(b.publishes.select("seq", "topic"), subs, "filter")
@@ -228,7 +200,7 @@ def _effective_qos(b: Base, subscriptions: DataFrame) -> DataFrame:
 
 @query("""SELECT p.seq, s.client_id, arg_max(s.filter, (s.qos, s.filter)) AS filter, CAST(max(s.qos) AS BIGINT) AS qos FROM publishes p JOIN subscriptions s
 ON NOT starts_with(s.filter, '$share/') AND regexp_full_match(p.topic, CASE WHEN s.filter = '#' THEN '.*' ELSE replace(replace(s.filter, '+', '[^/]*'), '/#', '(/.*)?') END) GROUP BY ALL""")
-def subscription_effective_qos_all(b: Base):
+def subscription_effective_qos(b: Base):
     return _effective_qos(b, s.subscriptions(b.spark))
 
 
@@ -295,26 +267,15 @@ def cluster_nodes(b: Base):
 
 # addresses and arguments
 
-ADDRESSES = [
-    ("$queue/tasks",), ("$queue/tasks/images/png",), ("$queue/tasks/images/$ack",), ("$queue/a/$nack",), ("$queue/a/b/$reject",), ("$queue/a/$commit",),
-    ("$queue/a/$ack/id",), ("$queue/",), ("sensors/a",), ("tasks",), ("tasks/x",), ("$share/g/a/#",), ("$share/g",), ("a/#/b",), ("a+/b",), ("+/b/#",), ("a//b",),
-]
-ADDR = f", a AS (SELECT * FROM {values(ADDRESSES)} t(topic))\n"
-
-
-def _addresses(b: Base):
-    return b.spark.createDataFrame(ADDRESSES, "topic string")
-
-
-@query(ADDR + """, k AS (SELECT topic, CASE WHEN NOT starts_with(topic, '$queue/') THEN 'pubsub' WHEN regexp_matches(topic, '/\\$(ack|nack|reject)$') THEN 'queue_ack'
+@query(""", k AS (SELECT topic, CASE WHEN NOT starts_with(topic, '$queue/') THEN 'pubsub' WHEN regexp_matches(topic, '/\\$(ack|nack|reject)$') THEN 'queue_ack'
  WHEN regexp_matches(topic, '(^|/)\\$(ack|nack|reject|commit)/') THEN 'queue_malformed' WHEN ends_with(topic, '/$commit') THEN 'queue_commit' ELSE 'queue' END AS kind,
- regexp_replace(topic, '/\\$(ack|nack|reject)$', '') AS base FROM a)
+ regexp_replace(topic, '/\\$(ack|nack|reject)$', '') AS base FROM addresses)
 SELECT topic, kind, CASE WHEN kind IN ('queue', 'queue_ack') THEN split_part(substr(base, 8), '/', 1) WHEN kind = 'queue_commit' THEN substr(regexp_replace(topic, '/\\$commit$', ''), 8) ELSE '' END AS queue,
  CASE WHEN kind IN ('queue', 'queue_ack') AND contains(substr(base, 8), '/') THEN substr(base, 9 + length(split_part(substr(base, 8), '/', 1))) ELSE '' END AS pattern,
  CASE WHEN kind = 'queue_ack' THEN regexp_extract(topic, '\\$(ack|nack|reject)$', 1) ELSE '' END AS ack_kind FROM k""")
 def route_resolve(b: Base):
     r = t.resolve_route(F.col("topic"))
-    return _addresses(b).select("topic", r["kind"].alias("kind"), r["queue"].alias("queue"), r["pattern"].alias("pattern"), r["ack_kind"].alias("ack_kind"))
+    return b.addresses.select("topic", r["kind"].alias("kind"), r["queue"].alias("queue"), r["pattern"].alias("pattern"), r["ack_kind"].alias("ack_kind"))
 
 
 @query("SELECT DISTINCT topic, substr(topic, 8) AS key FROM publishes")
@@ -322,17 +283,17 @@ def routing_key(b: Base):
     return b.publishes.select("topic").distinct().select("topic", t.routing_key(F.col("topic"), "events").alias("key"))
 
 
-@query(ADDR + """SELECT topic, CASE WHEN starts_with(topic, '$queue/tasks/') OR topic IN ('$queue/tasks', 'tasks') THEN replace(topic, 'tasks', 'tasks')
-ELSE topic END AS x, CASE WHEN topic IN ('tasks', '$queue/tasks') THEN '$queue/tasks' WHEN starts_with(topic, '$queue/tasks/') THEN topic WHEN starts_with(topic, 'tasks/') THEN '$queue/' || topic ELSE '$queue/tasks/' || topic END AS address FROM a""")
+@query("""SELECT topic, CASE WHEN topic IN ('click', '$queue/click') THEN '$queue/click' WHEN starts_with(topic, '$queue/click/') THEN topic
+WHEN starts_with(topic, 'click/') THEN '$queue/' || topic ELSE '$queue/click/' || topic END AS address FROM addresses""")
 def delivery_topic(b: Base):
-    return _addresses(b).select("topic", F.col("topic").alias("x"), t.delivery_topic(" /tasks/", F.col("topic")).alias("address"))
+    return b.addresses.select("topic", t.delivery_topic(" /click/", F.col("topic")).alias("address"))
 
 
-@query(ADDR + """SELECT topic, topic <> '' AND NOT regexp_matches(topic, '[+#]') AS is_name,
+@query("""SELECT topic, topic <> '' AND NOT regexp_matches(topic, '[+#]') AS is_name,
  NOT regexp_matches(f, '[^/]#|#[^$]|[^/]\\+|\\+[^/]') AND NOT (starts_with(topic, '$share/') AND NOT regexp_matches(topic, '^\\$share/[^/]+/.+')) AS is_filter
-FROM (SELECT topic, CASE WHEN regexp_matches(topic, '^\\$share/[^/]*/') THEN regexp_replace(topic, '^\\$share/[^/]*/', '') ELSE topic END AS f FROM a)""")
+FROM (SELECT topic, CASE WHEN regexp_matches(topic, '^\\$share/[^/]*/') THEN regexp_replace(topic, '^\\$share/[^/]*/', '') ELSE topic END AS f FROM addresses)""")
 def topic_validation(b: Base):
-    return _addresses(b).select("topic", t.valid_topic_name(F.col("topic")).alias("is_name"), t.valid_topic_filter(F.col("topic")).alias("is_filter"))
+    return b.addresses.select("topic", t.valid_topic_name(F.col("topic")).alias("is_name"), t.valid_topic_filter(F.col("topic")).alias("is_filter"))
 
 
 @query("SELECT DISTINCT topic, replace(topic, '/', '.') AS amqp, replace(replace(replace(topic, '/', '.'), '.', '/'), '*', '+') AS back FROM publishes")
@@ -341,29 +302,45 @@ def topic_translation(b: Base):
     return rows.withColumn("back", t.amqp_filter_to_mqtt(F.col("amqp")))
 
 
-ARGUMENTS = [("first",), (" Last ",), ("next",), ("offset=12",), ("17",), ("timestamp=1700000000",), ("timestamp=1700000000123",), ("offset=x",), ("",), ("-3",)]
+ARGUMENTS = """, arguments AS (SELECT DISTINCT CASE seq % 10 WHEN 0 THEN 'first' WHEN 1 THEN ' Last ' WHEN 2 THEN 'next' WHEN 3 THEN 'offset=' || seq WHEN 4 THEN CAST(seq AS VARCHAR) WHEN 5 THEN 'timestamp=' || (1700000000 + seq)
+WHEN 6 THEN 'timestamp=' || (1700000000000 + seq) WHEN 7 THEN 'offset=x' || seq WHEN 8 THEN '' ELSE '-' || seq END AS arg FROM publishes)
+"""
+
 
+def _arguments(b: Base) -> DataFrame:
+    n = F.col("seq").cast("string")
+    plus = lambda k: (F.col("seq") + k).cast("string")
+    c, x = F.concat, F.lit
+    forms = [x("first"), x(" Last "), x("next"), c(x("offset="), n), n, c(x("timestamp="), plus(1700000000)), c(x("timestamp="), plus(1700000000000)), c(x("offset=x"), n), x(""), c(x("-"), n)]
+    return b.publishes.select(F.get(F.array(*forms), (F.col("seq") % 10).cast("int")).alias("arg")).distinct()
 
-@query(f"""SELECT arg, CASE WHEN x = 'first' THEN 'earliest' WHEN x IN ('last', 'next') THEN 'latest' WHEN regexp_matches(x, '^timestamp=[0-9]+$') THEN 'timestamp' WHEN regexp_matches(x, '^(offset=)?[0-9]+$') THEN 'offset' END AS position,
+
+@query(ARGUMENTS + """SELECT arg, CASE WHEN x = 'first' THEN 'earliest' WHEN x IN ('last', 'next') THEN 'latest' WHEN regexp_matches(x, '^timestamp=[0-9]+$') THEN 'timestamp' WHEN regexp_matches(x, '^(offset=)?[0-9]+$') THEN 'offset' END AS position,
 CASE WHEN regexp_matches(x, '^(offset=)?[0-9]+$') THEN CAST(regexp_extract(x, '[0-9]+$') AS BIGINT) END AS "offset",
 CASE WHEN regexp_matches(x, '^timestamp=[0-9]+$') THEN CASE WHEN CAST(substr(x, 11) AS BIGINT) > 1000000000000 THEN CAST(substr(x, 11) AS BIGINT) ELSE CAST(substr(x, 11) AS BIGINT) * 1000 END END AS timestamp_ms
-FROM (SELECT arg, lower(trim(arg)) AS x FROM (SELECT * FROM {values(ARGUMENTS)} t(arg)))""")
+FROM (SELECT arg, lower(trim(arg)) AS x FROM arguments)""")
 def stream_offset_argument(b: Base):
     r = v.stream_offset(F.col("arg"))
-    return b.spark.createDataFrame(ARGUMENTS, "arg string").select("arg", r["position"].alias("position"), r["offset"].alias("offset"), r["timestamp_ms"].alias("timestamp_ms"))
+    return _arguments(b).select("arg", r["position"].alias("position"), r["offset"].alias("offset"), r["timestamp_ms"].alias("timestamp_ms"))
 
 
-DURATIONS = [("1h30m", 5400.0), ("1.5D", 129600.0), ("2w", 1209600.0), ("250ms", 0.25), ("90s", 90.0), ("0", 0.0), ("-1m", -60.0), ("1x", None), ("", None), ("10", None)]
+DURATIONS = """, durations AS (SELECT DISTINCT CASE seq % 9 WHEN 0 THEN u || 'h' || (seq % 60) || 'm' WHEN 1 THEN u || '.5D' WHEN 2 THEN u || 'w' WHEN 3 THEN seq || 'ms' WHEN 4 THEN u || 's' WHEN 5 THEN '0' WHEN 6 THEN '-' || u || 'm' WHEN 7 THEN u || 'x'
+ELSE u END AS arg FROM (SELECT seq, substr(client_id, 2) AS u FROM publishes))
+"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if x is None else x}::DOUBLE)" for a, x in DURATIONS) + ") t(arg, seconds)")
-def duration_argument(b: Base):
-    return b.spark.createDataFrame([(a,) for a, _ in DURATIONS], "arg string").select("arg", v.duration_seconds(F.col("arg")).alias("seconds"))
+def _durations(b: Base) -> DataFrame:
+    u, n = F.substring("client_id", 2, 20), F.col("seq").cast("string")
+    c, x = F.concat, F.lit
+    forms = [c(u, x("h"), (F.col("seq") % 60).cast("string"), x("m")), c(u, x(".5D")), c(u, x("w")), c(n, x("ms")), c(u, x("s")), x("0"), c(x("-"), u, x("m")), c(u, x("x")), u]
+    return b.publishes.select(F.get(F.array(*forms), (F.col("seq") % 9).cast("int")).alias("arg")).distinct()
 
 
-@query("""SELECT queue, "offset", queue || ':' || "offset" AS message_id, CAST("offset" AS VARCHAR) AS at, topic AS source, "offset" AS parsed FROM messages WHERE "offset" % 50 = 0""")
-def delivery_properties(b: Base):
-    return _stamped_delivery(b.messages.filter("offset % 50 = 0"))
+@query(DURATIONS + """SELECT arg, CASE WHEN arg = '0' THEN 0 WHEN regexp_full_match(arg, '[0-9]+h[0-9]+m') THEN CAST(split_part(arg, 'h', 1) AS DOUBLE) * 3600 + CAST(split_part(rtrim(arg, 'm'), 'h', 2) AS DOUBLE) * 60
+WHEN ends_with(arg, 'D') THEN CAST(rtrim(arg, 'D') AS DOUBLE) * 86400 WHEN ends_with(arg, 'w') THEN CAST(rtrim(arg, 'w') AS DOUBLE) * 7 * 86400 WHEN ends_with(arg, 'ms') THEN CAST(rtrim(arg, 'ms') AS DOUBLE) * 0.001::DOUBLE
+WHEN ends_with(arg, 's') THEN CAST(rtrim(arg, 's') AS DOUBLE) WHEN starts_with(arg, '-') THEN CAST(rtrim(arg, 'm') AS DOUBLE) * 60 END AS seconds FROM durations""")
+def duration_argument(b: Base):
+    return _durations(b).select("arg", v.duration_seconds(F.col("arg")).alias("seconds"))
 
 
 def _stamped_delivery(rows: DataFrame) -> DataFrame:
@@ -374,17 +351,10 @@ def _stamped_delivery(rows: DataFrame) -> DataFrame:
 
 
 @query("""SELECT queue, "offset", queue || ':' || "offset" AS message_id, CAST("offset" AS VARCHAR) AS at, topic AS source, "offset" AS parsed FROM messages""")
-def delivery_properties_all(b: Base):
+def delivery_properties(b: Base):
     return _stamped_delivery(b.messages)
 
 
-@query("""SELECT m."offset", CAST(epoch_us(m.created_at) // 1000 AS VARCHAR) AS stamp, CAST(g.committed AS VARCHAR) AS work_committed, CASE WHEN m."offset" < g.committed THEN 'true' ELSE 'false' END AS acked
-FROM messages m JOIN groups g ON g.queue = m.queue AND g.group_id = 'workers' AND g.pattern = '' WHERE m.queue = 'all' AND m."offset" % 25 = 0""")
-def stream_decorate(b: Base):
-    rows = b.messages.filter("queue = 'all' and offset % 25 = 0")
-    return _decorated(b, rows).select("offset", "stamp", "work_committed", "acked")
-
-
 def _decorated(b: Base, rows: DataFrame) -> DataFrame:
     progress = groups.primary_progress(b.groups, "workers").select("queue", "group_id", "work_committed")
     rows = rows.join(progress, "queue")
@@ -396,7 +366,7 @@ def _decorated(b: Base, rows: DataFrame) -> DataFrame:
 @query("""SELECT m.queue, a.group_id, m."offset", CAST(epoch_us(m.created_at) // 1000 AS VARCHAR) AS stamp, CAST(g.committed AS VARCHAR) AS work_committed,
 CASE WHEN m."offset" < g.committed THEN 'true' WHEN m."offset" >= g.committed THEN 'false' END AS acked
 FROM messages m JOIN groups a ON a.queue = m.queue AND a.mode = 'stream' LEFT JOIN groups g ON g.queue = a.queue AND g.pattern = a.pattern AND g.mode = 'queue' AND g.group_id = 'workers'""")
-def stream_decorate_all(b: Base):
+def stream_decorate(b: Base):
     return _decorated(b, b.messages)
 
 
@@ -405,9 +375,10 @@ def protocol_labels(b: Base):
     return s.sessions(b.spark, b.dir).select("client_id", v.protocol_label(F.col("version"), F.col("client_id")).alias("label"))
 
 
-@query("SELECT i AS attempt, least(100.0::DOUBLE * pow(2.5::DOUBLE, i), 5000.0::DOUBLE) AS delay, CAST(least(50 * (1 << i), 2000) AS BIGINT) AS bound FROM range(8) t(i)")
+@query("SELECT client_id, packet_id, least(100.0::DOUBLE * pow(2.5::DOUBLE, retries), 5000.0::DOUBLE) AS delay, CAST(least(50 * (1 << retries), 200) AS BIGINT) AS bound FROM inflight")
 def retry_delays(b: Base):
-    return b.spark.range(8).select(F.col("id").alias("attempt"), v.retry_delay(F.col("id"), 100, 2.5, 5000).alias("delay"), v.backoff_bound(F.col("id"), 50, 2000).alias("bound"))
+    attempt = F.col("retries")
+    return s.inflight(b.spark, b.dir).select("client_id", long("packet_id"), v.retry_delay(attempt, 100, 2.5, 5000).alias("delay"), v.backoff_bound(attempt, 50, 200).alias("bound"))
 
 
 # groups
@@ -471,20 +442,9 @@ def redelivery_batches(b: Base):
     return groups.redelivery_batches(rows).select("queue", "group", long("shard"), F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"))
 
 
-@query("SELECT 'n' || (i % 3) AS node, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS shards FROM range(8) t(i) GROUP BY i % 3")
+@query("""SELECT node, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS shards FROM (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT node FROM members)), range(64) t(i) WHERE i % n = k GROUP BY node""")
 def shard_assignment(b: Base):
-    return groups.shard_assignments(b.spark, ["n0", "n1", "n2"]).select("node", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
-
-
-@query(f"""SELECT queue, "group", "offset", place FROM (SELECT m.queue, g."group", m."offset", row_number() OVER (PARTITION BY m.queue, g."group" ORDER BY m."offset") AS place FROM messages m JOIN groups g USING (queue)
-WHERE m."offset" >= g.cursor AND m.expires_at >= {AS_OF} AND g.pattern = '') WHERE place <= 20""")
-def consume_batches(b: Base):
-    return groups.consumed_rows(b.groups.filter("pattern = ''"), b.messages, 20, s.AS_OF).select("queue", "group", "offset", long("place"))
-
-
-@query(f"""SELECT p."group", p."offset", m.topic FROM (SELECT * FROM pending WHERE queue = 'all' AND consumer <> 'c2' AND claimed_at < {AS_OF} - INTERVAL 1 HOUR ORDER BY "group", "offset" LIMIT 10) p JOIN messages m USING (queue, "offset")""")
-def claim_idle(b: Base):
-    return groups.claim(b.pending, b.messages, "all", "c2", s.AS_OF, 3600).select("group", "offset", "topic")
+    return groups.shard_assignments(consumers.members(b.consumer_ops), 64).select("node", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 @query("""SELECT queue, CASE position WHEN 'earliest' THEN head WHEN 'latest' THEN tail WHEN 'offset' THEN least(greatest(9999999, head), tail) ELSE head END AS start, position FROM limits, (VALUES ('earliest'), ('latest'), ('offset'), ('default')) t(position)""")
@@ -516,11 +476,6 @@ def consumer_metrics(b: Base):
     return groups.consumer_metrics(b.pending.select("queue", (F.col("deliveries") < 5).alias("ok"), F.col("offset").alias("latency_ms")))
 
 
-@query()
-def token_bucket(b: Base):
-    return state.token_bucket(b.publishes, "client_id", "published_at", "seq", rate=1 / 3600, burst=3)
-
-
 # listings and housekeeping
 
 
@@ -529,27 +484,6 @@ def list_sessions_page(b: Base):
     return admin.page(s.sessions(b.spark, b.dir).select("client_id", "connected"), "client_id", 25, "c000", "c00000099")
 
 
-@query("SELECT queue, durable, 'purchases' AS next_token FROM queues WHERE queue > 'all' ORDER BY queue LIMIT 3")
-def list_queues_page(b: Base):
-    return admin.page(s.queues(b.spark).select("queue", "durable"), "queue", 3, "", "all")
-
-
-@query("SELECT filter, count(DISTINCT client_id) AS clients, CAST(max(qos) AS BIGINT) AS max_qos FROM subscriptions GROUP BY filter")
-def subscription_summary(b: Base):
-    return admin.subscription_summary(s.subscriptions(b.spark)).select("filter", "clients", long("max_qos"))
-
-
-@query("SELECT filter, CAST(2 * count(DISTINCT client_id) AS BIGINT) AS clients, CAST(max(qos) AS BIGINT) AS max_qos FROM subscriptions GROUP BY filter")
-def subscription_merge(b: Base):
-    one = admin.subscription_summary(s.subscriptions(b.spark))
-    return admin.merge_summaries(one, one).select("filter", "clients", long("max_qos"))
-
-
-@query("SELECT client_id, CAST(max(qos) AS BIGINT) AS qos FROM subscriptions WHERE filter = '$share/pool/events/error/#' GROUP BY client_id")
-def subscription_clients(b: Base):
-    return admin.subscription_clients(s.subscriptions(b.spark), "$share/pool/events/error/#").select("client_id", long("qos"))
-
-
 @query("SELECT client_id, CASE WHEN connected IS NULL THEN true ELSE connected OR CAST(substr(client_id, 2) AS INT) % 7 = 0 END AS connected FROM sessions")
 def session_merge(b: Base):
     stored = s.sessions(b.spark, b.dir).select("client_id", "connected")
@@ -587,11 +521,6 @@ def stale_consumers(b: Base):
     return admin.stale(b.pending, "claimed_at", s.AS_OF, 12 * 86400).groupBy("consumer").agg(F.count("*").alias("n"))
 
 
-@query("SELECT queue FROM queues WHERE NOT durable AND NOT reserved AND expires_after_s > 0 AND idle_s > expires_after_s")
-def ephemeral_expired(b: Base):
-    return admin.ephemeral_expired(s.queues(b.spark)).select("queue")
-
-
 @query("SELECT client_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq DESC) AS i FROM publishes) WHERE i <= 5")
 def offline_queue_evict(b: Base):
     return admin.bounded_queue(b.publishes, "client_id", ["seq"], 5).select("client_id", "seq")
@@ -623,29 +552,6 @@ def stats_rollup(b: Base):
     return out.select(F.coalesce(F.col("version").cast("string"), F.lit("total")).alias("protocol"), "sessions", "connected")
 
 
-@query("""SELECT '$SYS/broker/messages/received' AS topic, CAST(count(*) AS VARCHAR) AS value FROM publishes UNION ALL SELECT '$SYS/broker/bytes/received', CAST(sum(strlen(payload)) AS VARCHAR) FROM publishes
-UNION ALL SELECT '$SYS/broker/retained/count', CAST(count(DISTINCT topic) AS VARCHAR) FROM publishes WHERE retain""")
-def sys_stats(b: Base):
-    counters = b.publishes.agg(
-        F.count("*").alias("messages__received"), F.sum(F.octet_length("payload")).alias("bytes__received"), F.count_distinct(F.when(F.col("retain"), F.col("topic"))).alias("retained__count")
-    )
-    return admin.counters_as_topics(counters)
-
-
-@query("""SELECT queue AS path, CASE WHEN ttl_days > 7 THEN 'changed' ELSE 'removed' END AS change FROM queues WHERE ttl_days <> 7 UNION ALL SELECT 'fresh', 'added'""")
-def config_diff(b: Base):
-    old = s.queues(b.spark).select(F.col("queue").alias("path"), F.col("ttl_days").cast("string").alias("value"))
-    new = old.filter("cast(value as int) >= 7").withColumn("value", F.when(F.col("value").cast("int") > 7, "1").otherwise(F.col("value")))
-    new = new.unionByName(b.spark.createDataFrame([("fresh", "1")], "path string, value string"))
-    return admin.config_diff(old, new).select("path", "change")
-
-
-@query("SELECT queue, 'max_bytes' AS reason FROM queues WHERE max_bytes > 0")
-def contract_mismatch(b: Base):
-    q = s.queues(b.spark)
-    return admin.contract_mismatch(q, q.withColumn("max_bytes", F.lit(0)), ["durable", "ttl_days", "max_bytes"])
-
-
 @query("SELECT client_id, min(seq) AS seq FROM publishes GROUP BY client_id")
 def qos2_dedup(b: Base):
     return admin.first_packets(b.publishes.select("client_id", "seq", "topic"), ["client_id"]).select("client_id", "seq")
@@ -662,11 +568,6 @@ def topic_match_counts(b: Base):
 # the rest of the catalogue, hooks and merges
 
 
-@query("SELECT seq FROM publishes WHERE qos <= 1 AND NOT (client_id = 'u7')")
-def qos_cap_no_local(b: Base):
-    return b.publishes.filter((F.col("qos") <= 1) & (F.col("client_id") != "u7")).select("seq")
-
-
 @query("SELECT seq, CASE WHEN seq % 2 = 0 THEN topic || '/seen' ELSE topic END AS topic FROM publishes WHERE qos < 2")
 def hook_rewrite(b: Base):
     def decide(pdf):
@@ -687,23 +588,16 @@ def publish_grants(b: Base):
     return admin.authorized(rows, grants).select("seq")
 
 
-CONSUMERS = [("c1", "all", "", "", "n1"), ("c2", "clicks", "x/+", "", "n2"), ("c3", "", "", "events/+/7", "n1"), ("c4", "", "", "", "n3")]
-CONSUMER_TOPICS = [("$queue/all",), ("all",), ("$queue/all/z",), ("$queue/clicks/x/1",), ("$queue/clicks/y",), ("events/view/7",), ("clicks",)]
+CONSUMERS = [("c1", "click", "", "", "n1"), ("c2", "view", "x/+", "", "n2"), ("c3", "", "", "events/+/7", "n1"), ("c4", "", "", "", "n3")]
 
 
-@query(f"""SELECT consumer, topic FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node), {values(CONSUMER_TOPICS)} t(topic)
-WHERE (queue = 'all' AND (topic IN ('all', '$queue/all') OR starts_with(topic, '$queue/all/'))) OR (queue = 'clicks' AND topic = '$queue/clicks/x/1') OR (filter = 'events/+/7' AND topic = 'events/view/7')""")
+@query(f"""SELECT consumer, topic FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node), addresses
+WHERE (queue = 'click' AND (topic IN ('click', '$queue/click') OR starts_with(topic, '$queue/click/'))) OR (queue = 'view' AND regexp_full_match(topic, '\\$queue/view/x/[^/]*')) OR (filter = 'events/+/7' AND regexp_full_match(topic, 'events/[^/]*/7'))""")
 def amqp_consumer_match(b: Base):
-    consumers = b.spark.createDataFrame(CONSUMERS, "consumer string, queue string, pattern string, filter string, node string")
-    topics = F.array(*[F.lit(x) for (x,) in CONSUMER_TOPICS])
-    rows = consumers.withColumn("topic", F.explode(topics))
-    return rows.filter(t.consumer_match(F.col("queue"), F.col("pattern"), F.col("filter"), F.col("topic"))).select("consumer", "topic")
-
-
-@query(f"SELECT consumer, node <> 'n1' AS remote FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node)")
-def consumers_by_node(b: Base):
-    consumers = b.spark.createDataFrame(CONSUMERS, "consumer string, queue string, pattern string, filter string, node string")
-    return groups.by_node(consumers, "n1").select("consumer", "remote")
+    # the consumers of one connection travel as an array
+    some = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(c, ("consumer", "queue", "pattern", "filter"), strict=False)]) for c in CONSUMERS])
+    rows = b.addresses.select("topic", F.explode(some).alias("c"))
+    return rows.filter(t.consumer_match(F.col("c.queue"), F.col("c.pattern"), F.col("c.filter"), F.col("topic"))).select("c.consumer", "topic")
 
 
 @query("""SELECT g.queue, g."group", CASE WHEN g.mode = 'stream' AND g.auto_commit THEN greatest(g.committed, 1000) ELSE g.committed END AS advanced FROM groups g""")
@@ -729,43 +623,6 @@ def primary_group_progress(b: Base):
     return groups.primary_progress(b.groups, "workers").select("queue", groups.group_name().alias("stream_group"), "work_committed")
 
 
-@query("""SELECT queue, ttl_days FROM queues WHERE queue <> 'clicks' UNION ALL SELECT 'clicks', 99 UNION ALL SELECT 'extra', 1""")
-def queue_upsert(b: Base):
-    changes = b.spark.createDataFrame([("clicks", 99), ("extra", 1)], "queue string, ttl_days int")
-    return admin.upsert(s.queues(b.spark).select("queue", "ttl_days"), changes, "queue")
-
-
-@query("SELECT queue FROM queues WHERE queue <> 'clicks'")
-def queue_delete(b: Base):
-    return admin.delete_queue(admin.delete_queue(s.queues(b.spark), "clicks"), "system").select("queue")
-
-
-CONFIGS = [("a", ["x/#"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "stream"), ("b", ["x"], 0, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, ""), ("c", ["x"], 1, 1, 1, 1, 1, 0, 5, 4, 1.0, True, 0, False, ""),
-           ("d", ["x"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, False, 0, False, ""), ("e", [], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, ""), ("f", ["x"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "odd"), ("g", ["a/#/b"], 1, 1, 1, 1, 1, 0, 0, 0, 1.0, True, 0, False, "")]
-CONFIG_FIELDS = "name string, topics array<string>, max_message_size int, max_depth int, delivery_timeout int, batch_size int, heartbeat_timeout int, max_retries int, initial_backoff int, max_backoff int, backoff_multiplier double, durable boolean, expires_after int, reserved boolean, type string"
-
-
-@query("SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false), ('d', false), ('e', false), ('f', false), ('g', false)) t(name, valid)")
-def queue_config_valid(b: Base):
-    rows = b.spark.createDataFrame(CONFIGS, CONFIG_FIELDS)
-    ok = admin.valid_queue_config({c: F.col(c) for c in rows.columns}) & t.valid_topic_filters(F.col("topics"))
-    return rows.select("name", ok.alias("valid"))
-
-
-@query("""SELECT client_id, qos FROM (SELECT client_id, CAST(max(qos) AS BIGINT) AS qos FROM subscriptions WHERE filter = '#' GROUP BY client_id) UNION ALL
-SELECT DISTINCT client_id, CAST(0 AS BIGINT) FROM subscriptions WHERE client_id NOT IN (SELECT client_id FROM subscriptions WHERE filter = '#')""")
-def client_union(b: Base):
-    subs = s.subscriptions(b.spark)
-    first = admin.subscription_clients(subs, "#").select("client_id", long("qos"))
-    second = subs.select("client_id", F.lit(0).cast("bigint").alias("qos")).distinct()
-    return admin.missing_clients(first, second)
-
-
-@query("""SELECT node, client_id FROM sessions WHERE node < 5 ORDER BY client_id, node""")
-def sessions_across_nodes(b: Base):
-    return s.sessions(b.spark, b.dir).filter("node < 5").select(F.col("node").cast("int").alias("node"), "client_id").orderBy("client_id", "node")
-
-
 @query("""SELECT seq, message_id, state, k FROM (SELECT seq, 'm' || seq AS message_id, 'queued' AS state, CAST(qos AS VARCHAR) AS k FROM publishes)""")
 def log_decode(b: Base):
     text = lambda c: F.encode(c, "UTF-8")
@@ -774,28 +631,11 @@ def log_decode(b: Base):
     return out.select("seq", "message_id", "state", F.col("properties")["k"].alias("k"))
 
 
-@query("""SELECT consumer, CASE consumer WHEN '' THEN 2166136261 WHEN 'a' THEN 3826002220 WHEN 'foobar' THEN 3214735720 END AS hash, CASE consumer WHEN '' THEN 2166136261 % 16 WHEN 'a' THEN 3826002220 % 16 ELSE 3214735720 % 16 END AS shard
-FROM (VALUES (''), ('a'), ('foobar')) t(consumer)""")
-def consumer_shards(b: Base):
-    rows = b.spark.createDataFrame([("",), ("a",), ("foobar",)], "consumer string")
-    return rows.select("consumer", v.fnv1a_32(F.col("consumer")).alias("hash"), v.consumer_shard(F.col("consumer"), 16).cast("bigint").alias("shard"))
-
-
 @query("""SELECT queue, CAST(sum(strlen(payload) + strlen(topic) + 200) AS BIGINT) AS bytes FROM messages GROUP BY queue""")
 def queue_sizes(b: Base):
     return b.messages.groupBy("queue").agg(F.sum(_size()).alias("bytes"))
 
 
-@query("""SELECT qos, count(*) AS n, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM publishes GROUP BY qos""")
-def received_by_qos(b: Base):
-    return b.publishes.groupBy("qos").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
-
-
-@query("""SELECT connected, n FROM (SELECT count(*) FILTER (connected) AS connected, count(*) AS n FROM sessions)""")
-def overview(b: Base):
-    return s.sessions(b.spark, b.dir).agg(F.count_if("connected").alias("connected"), F.count("*").alias("n"))
-
-
 @query(FAN + """SELECT client_id, received, expected, received / expected AS ratio FROM (SELECT subscriber AS client_id, count(DISTINCT seq) AS received, count(*) AS expected FROM deliveries GROUP BY subscriber)""")
 def delivery_ratio(b: Base):
     out = _fan(b).groupBy(F.col("subscriber").alias("client_id")).agg(F.count_distinct("seq").alias("received"), F.count("*").alias("expected"))
@@ -810,42 +650,19 @@ def purge(b: Base):
     return own.join(left, "queue", "left").select("queue", F.coalesce("k", F.lit(0)).cast("int").alias("kept"), F.col("n").alias("purged"))
 
 
-@query()
-def group_machine(b: Base):
-    """Every publish to the click queue is appended; every fourth is followed by a claim, every eighth by an acknowledgement."""
-    rows = b.messages.filter("queue = 'clicks'")
-    at = (F.unix_micros("created_at") / 1e6).alias("at")
-    op = lambda k, name, when, offset, limit: F.when(when, F.struct((F.col("offset") * 4 + k).alias("seq"), F.lit(name).alias("op"), offset.cast("bigint").alias("offset"), limit.cast("bigint").alias("limit")))
-    none = F.lit(None)
-    ops = F.array(op(0, "append", F.lit(True), F.col("offset"), none), op(1, "claim", F.col("offset") % 4 == 3, none, F.lit(4)), op(2, "ack", F.col("offset") % 8 == 7, F.col("offset") - 4, none))
-    out = rows.select("queue", at, "offset", F.explode(F.filter(ops, lambda x: x.isNotNull())).alias("o"))
-    consumer = F.concat(F.lit("c"), (F.col("o.offset") % 2).cast("string"))
-    return state.run_groups(
-        out.select("queue", F.lit("workers").alias("group"), "o.seq", "o.op", "o.offset", F.coalesce(consumer, F.lit("c1")).alias("consumer"), "at", F.lit(None).cast("double").alias("expires_at"), "o.limit")
-    )
-
-
 @query("SELECT event_type AS queue, count(*) AS n, count(*) AS distinct_offsets, count(*) - 1 AS last FROM events GROUP BY event_type")
 def streamed_offsets(b: Base):
-    """The events followed as a stream, numbered by stateful tasks and appended batch by batch."""
-    b.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    static = b.spark.read.parquet(f"{b.dir}/events.parquet")
-    rows = io.follow(b.spark, f"{b.dir}/events.parquet*", static.schema).select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"))
-    out = shared_path(b.spark, "streamed-offsets")
+    """The events followed as a stream of several batches, numbered by stateful tasks and appended batch by batch."""
+    own = b.spark.newSession()  # the state store is set for this stream alone
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, out = shared_path(b.spark, "stream-input"), shared_path(b.spark, "streamed-offsets")
+    events = b.spark.read.parquet(f"{b.dir}/events.parquet").select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"))
+    events.repartition(3).write.parquet(path)
+    rows = io.follow(own, path, events.schema)
     io.append_stream(state.stream_offsets(rows), out, shared_path(b.spark, "stream-checkpoint")).awaitTermination()
     return b.spark.read.parquet(out).groupBy("queue").agg(F.count("*").alias("n"), F.count_distinct("offset").alias("distinct_offsets"), F.max("offset").alias("last"))
 
 
-@query("SELECT filter, CAST(qos AS BIGINT) AS qos FROM subscriptions WHERE client_id = 'u1'")
-def subscriptions_of_client(b: Base):
-    return s.subscriptions(b.spark).filter("client_id = 'u1'").select("filter", long("qos"))
-
-
-@query("SELECT client_id FROM subscriptions WHERE filter = 'events/#'")
-def subscriptions_of_filter(b: Base):
-    return s.subscriptions(b.spark).filter("filter = 'events/#'").select("client_id")
-
-
 @query(f"""SELECT n.node, coalesce(m, 0) + coalesce(a, 0) AS active FROM (SELECT DISTINCT CAST(node AS BIGINT) AS node FROM sessions) n
 LEFT JOIN (SELECT node, count(*) AS m FROM sessions WHERE connected GROUP BY node) USING (node)
 LEFT JOIN (SELECT CAST(substr(node, 2) AS INT) AS node, count(*) AS a FROM {values(CONSUMERS)} c(consumer, queue, pattern, filter, node) GROUP BY 1) USING (node)""")
@@ -857,11 +674,6 @@ def node_overview(b: Base):
     return out.select("node", (F.col("m") + F.coalesce("a", F.lit(0))).alias("active"))
 
 
-@query("""SELECT "group", "offset", consumer FROM pending WHERE queue = 'clicks' AND consumer = 'c0'""")
-def pending_of_consumer(b: Base):
-    return b.pending.filter("queue = 'clicks' and consumer = 'c0'").select("group", "offset", "consumer")
-
-
 @query("SELECT DISTINCT topic, seq FROM publishes WHERE topic LIKE 'events/%/7' OR topic LIKE 'events/error/%'")
 def consumer_filter_set(b: Base):
     filters = F.array(F.lit("+/7"), F.lit("error/#"))
@@ -876,11 +688,5 @@ def queue_addresses(b: Base):
     return rows.select("topic", "address", parts["queue"].alias("name"), parts["pattern"].alias("pattern"), t.effective_group(parts["queue"], parts["pattern"]).alias("grp"))
 
 
-@query("SELECT queue, durable, ttl_days FROM queues")
-def management_query(b: Base):
-    return s.queues(b.spark).select("queue", "durable", "ttl_days")
-
-
-@query("""SELECT queue, "group", cursor, committed FROM (SELECT queue, group_id AS "group", head AS cursor, head AS committed FROM limits, (VALUES ('fresh')) t(group_id))""")
-def create_group(b: Base):
-    return b.limits.select("queue", F.lit("fresh").alias("group"), F.col("head").alias("cursor"), F.col("head").alias("committed"))
+# registers the queries of these modules
+from . import catalogue_queries, group_queries  # noqa: E402, F401

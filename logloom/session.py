@@ -55,3 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_stamps(spark: SparkSession, path: str) -> tuple:
+    """(name, size, modification time) of a file, or of the files in a folder, from the file system that has it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)

@@ -162,3 +162,98 @@ def group_ops(pending_: DataFrame) -> DataFrame:
     )
     rows = base.withColumn("o", F.explode(F.filter(ops, lambda x: x.isNotNull())))
     return rows.select("queue", "group", (F.col("offset") * 10 + F.col("o.n")).alias("seq"), F.col("o.op").alias("op"), "offset", F.col("o.by").alias("consumer"), (F.col("at") + F.col("o.n")).alias("ts"))
+
+
+def consumer_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as what consumers do: a signup joins, an error leaves, the rest are heartbeats."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    queues_ = F.array(*[F.lit(x) for x in ("all", "clicks", "errors", "purchases")])
+    user = F.col("user_id")
+    op = F.when(F.col("event_type") == "signup", "join").when(F.col("event_type") == "error", "leave").otherwise("heartbeat")
+    name = F.concat(F.lit("u"), user.cast("string"))
+    return e.select(
+        F.get(queues_, (user % 4).cast("int")).alias("queue"), F.lit("workers").alias("group"), name.alias("consumer"), name.alias("client_id"),
+        F.concat(F.lit("n"), (user % 5).cast("string")).alias("node"), F.col("event_id").alias("seq"), op.alias("op"), F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+def reference_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as references to subscriptions: clicks and views subscribe, errors and signups unsubscribe, purchases touch."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("click", "view"), "subscribe").when(kind == "purchase", "touch").otherwise("unsubscribe")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", kind.alias("kind"), op.alias("op"))
+    return consumer_ops(spark, sf_dir).drop("op").join(e, F.col("seq") == F.col("event_id")).select("client_id", "queue", "group", "seq", "op", "at")
+
+
+def addresses(publishes_: DataFrame) -> DataFrame:
+    """The distinct topics that fifteen forms of address make of the publishes."""
+    kind, user = F.split_part("topic", F.lit("/"), F.lit(2)), F.split_part("topic", F.lit("/"), F.lit(3))
+    q, join = F.concat(F.lit("$queue/"), kind), F.concat
+    text = F.lit
+    forms = [
+        q, join(q, text("/"), user), join(q, text("/"), user, text("/$ack")), join(q, text("/$nack")), join(q, text("/x/"), user, text("/$reject")),
+        join(q, text("/$commit")), join(q, text("/$ack/"), user), F.col("topic"), join(text("$share/g"), user, text("/events/"), kind, text("/#")),
+        join(text("events/+/"), user), join(text("events/#/"), user), join(kind, text("+/"), user), join(text("$share/g"), user), kind, join(kind, text("/"), user),
+    ]
+    return publishes_.select(F.get(F.array(*forms), (F.col("seq") % 15).cast("int")).alias("topic")).distinct()
+
+
+def client_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as subscriptions of their customers: client_id, filter, qos, node."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    forms = [
+        F.concat(F.lit("orders/"), "o_orderstatus", F.lit("/#")), F.concat(F.lit("orders/+/"), (c % 50).cast("string")),
+        F.concat(F.lit("$share/g"), (c % 5).cast("string"), F.lit("/orders/#")), F.lit("orders/#"),
+    ]
+    rows = o.select(F.concat(F.lit("c"), F.lpad(c.cast("string"), 8, "0")).alias("client_id"), F.get(F.array(*forms), (k % 4).cast("int")).alias("filter"), (k % 3).cast("int").alias("qos"), (c % 3).cast("int").alias("n"))
+    return rows.groupBy("client_id", "filter").agg(F.max("qos").alias("qos"), F.concat(F.lit("n"), F.first("n").cast("string")).alias("node"))
+
+
+def amqp_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as subscriptions of another protocol, a third of them under the same client id."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    own = F.when(k % 3 == 0, F.concat(F.lit("c"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.concat(F.lit("amqp091:"), k.cast("string")))
+    status = F.get(F.array(*[F.lit(x) for x in "PFO"]), (k % 3).cast("int"))
+    return c.select(own.alias("client_id"), F.concat(F.lit("orders/"), status, F.lit("/#")).alias("filter"), F.lit(1).alias("qos"), F.concat(F.lit("n"), (k % 3).cast("string")).alias("node"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as queues with their configuration."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return p.select(
+        F.concat(F.lit("q"), F.lpad(k.cast("string"), 8, "0")).alias("queue"), k.alias("k"), (k % 3 != 0).alias("durable"), (k % 11 == 0).alias("reserved"),
+        F.get(F.array(F.lit("classic"), F.lit("stream"), F.lit("odd"), F.lit("")), (k % 4).cast("int")).alias("type"), size.alias("ttl_days"), (size * 1000).cast("bigint").alias("max_bytes"),
+        (k % 5 * 600).alias("expires_after_s"), (k * 37 % 5000).alias("idle_s"), F.concat(F.lit("parts/"), size.cast("string"), F.when(k % 7 == 0, "/#/x").otherwise("/#")).alias("topic"),
+    )
+
+
+def settle_ops(pending_: DataFrame) -> DataFrame:
+    """Two or three operations on every pending entry, by the offset's remainder: nack, transfer, ack, reject, some of them by consumers that don't own it."""
+    o = F.col("offset")
+    base = pending_.select("queue", "group", "offset", "consumer", F.col("claimed_at").alias("c"))
+    none = F.lit(None).cast("string")
+    op = lambda n, name, by, to, when: F.when(when, F.struct(F.lit(n).alias("n"), F.lit(name).alias("op"), by.alias("consumer"), to.alias("to")))
+    ops = F.array(
+        op(0, "nack", F.col("consumer"), none, o % 2 == 0),
+        op(1, "transfer", F.col("consumer"), F.lit("thief"), o % 3 == 0),
+        op(2, "ack", F.col("consumer"), none, o % 5 != 0),
+        op(3, "reject", F.lit("thief"), none, o % 4 == 0),
+    )
+    rows = base.withColumn("_o", F.explode(F.filter(ops, lambda x: x.isNotNull())))
+    return rows.select(
+        "queue", "group", (o * 10 + F.col("_o.n")).alias("seq"), F.col("_o.op").alias("op"), "offset", F.col("_o.consumer").alias("consumer"), F.col("_o.to").alias("to"),
+        F.timestamp_micros(F.unix_micros("c") + (F.col("_o.n") + 1) * 1_000_000).alias("at"),
+    )
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as packets of a customer's session: the first lines of an order are sent, the later ones acknowledge."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return rows.select(
+        F.concat(F.lit("s"), (F.col("l_orderkey") % 200).cast("string")).alias("client_id"), F.when(F.col("l_orderkey") % 2 == 0, "out").otherwise("in").alias("direction"),
+        (F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("seq"), F.when(F.col("l_linenumber") <= 4, "add").otherwise("done").alias("op"),
+        (F.col("l_partkey") % 40).cast("int").alias("packet_id"),
+    )

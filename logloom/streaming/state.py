@@ -1,21 +1,18 @@
-"""Ordered state of consumer groups and rate limits, in batch and as streams.
-
-The same transition functions run over a sorted group (applyInPandas) and in a
-stateful stream (transformWithStateInPandas), so both give the same answer.
-"""
+"""Ordered state of consumer groups and rate limits, in batch and as streams."""
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.arrays import scan
+from ..operators.ranking import range_of, totals_before
 from ..session import ship
 
 # a stateful processor is also unpickled by a worker of the driver, which gets no shipped files
@@ -46,159 +43,95 @@ def replay_cursor(ops: DataFrame) -> DataFrame:
     return ops.filter("op = 'deliver'").groupBy("queue", "group").agg(F.count("*").alias("delivered"), (F.max("offset") + 1).alias("cursor"))
 
 
-def bucket_step(tokens: float, last: float | None, at: float, rate: float, burst: int) -> tuple[float, bool]:
-    """Tokens after an event at ``at`` seconds, and whether it was allowed."""
-    if last is not None:
-        tokens = min(float(burst), tokens + max(0.0, at - last) * rate)
-    return (tokens - 1, True) if tokens >= 1 else (tokens, False)
-
+def bucket_pieces(events: DataFrame, key: str, time_col: str, order: str, rate: float, burst: int, rows_per_range: int = 200_000) -> DataFrame:
+    """_key, _order, _at (seconds) and _piece: a key's events cut wherever its bucket has filled up again.
 
-def token_bucket(events: DataFrame, key: str, time_col: str, order: str, rate: float, burst: int) -> DataFrame:
-    """key, order column and ``allowed``: a token bucket per key, full at its first event."""
-    ship(events.sparkSession)
+    A gap of burst / rate seconds fills it from any state, so pieces don't depend on
+    each other. Gaps are looked for within ranges of time and between them, so no task
+    holds all events of a key.
+    """
+    rows = events.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.unix_micros(time_col).alias("_us"))
+    rows = rows.withColumn("_range", range_of(rows, [F.col("_us"), F.col("_order")], rows_per_range))
+    by_key = Window.partitionBy("_key").orderBy("_range")
+    # a row for each key and range
+    ends = rows.groupBy("_key", "_range").agg(F.max("_us").alias("_end")).withColumn("_ahead", F.lag("_end").over(by_key)).drop("_end")
+    inside = Window.partitionBy("_key", "_range").orderBy("_us", "_order")
+    gap = (F.col("_us") - F.coalesce(F.lag("_us").over(inside), F.col("_ahead"))) / 1e6
+    rows = rows.join(ends, ["_key", "_range"]).withColumn("_cut", F.coalesce(gap * rate >= burst, F.lit(True)).cast("int"))
+    counts = totals_before(rows.groupBy("_key", "_range").agg(F.sum("_cut").alias("_n")), ["_key"], "_range", "_n", "_before").drop("_n")
+    rows = rows.withColumn("_in", F.sum("_cut").over(inside)).join(counts, ["_key", "_range"])
+    return rows.select("_key", "_order", (F.col("_us") / 1e6).alias("_at"), (F.col("_before") + F.col("_in")).alias("_piece"))
+
+
+def token_bucket(events: DataFrame, key: str, time_col: str, order: str, rate: float, burst: int, rows_per_range: int = 200_000) -> DataFrame:
+    """key, order column and ``allowed``: a token bucket per key, full at its first event.
+
+    ``rate`` tokens a second flow in, up to ``burst``; an event takes one if there is
+    one. A key's events are folded by the pieces of bucket_pieces(); a piece has to fit
+    a task. Keys must not be null.
+    """
+    rows = bucket_pieces(events, key, time_col, order, rate, burst, rows_per_range)
+    listed = rows.groupBy("_key", "_piece").agg(F.sort_array(F.collect_list(F.struct("_at", "_order"))).alias("_e"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", "_order"])
-        tokens, last, out = float(burst), None, []
-        for at in pdf["_at"]:
-            tokens, ok = bucket_step(tokens, last, at, rate, burst)
-            last = at
-            out.append(ok)
-        return pdf.assign(allowed=out)[["_key", "_order", "allowed"]]
+    def step(state: dict[str, Column], e: Column) -> tuple[dict[str, Column], Column]:
+        flow = F.greatest(F.lit(0.0), e["_at"] - state["last"]) * rate
+        tokens = F.when(state["last"].isNull(), state["tokens"]).otherwise(F.least(F.lit(float(burst)), state["tokens"] + flow))
+        return {"tokens": F.when(tokens >= 1, tokens - 1).otherwise(tokens), "last": e["_at"]}, tokens >= 1
 
-    rows = events.select(F.col(key).alias("_key"), F.col(order).alias("_order"), (F.unix_micros(time_col) / 1e6).alias("_at"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.groupBy("_key").applyInPandas(fold, f"_key {kinds['_key']}, _order {kinds['_order']}, allowed boolean")
-    return out.withColumnsRenamed({"_key": key, "_order": order})
+    start = {"tokens": F.lit(float(burst)), "last": F.lit(None).cast("double")}
+    allowed = scan(F.col("_e"), start, step, "boolean")
+    out = listed.select("_key", F.explode(F.arrays_zip(F.col("_e").alias("e"), allowed.alias("a"))).alias("z"))
+    return out.select(F.col("_key").alias(key), F.col("z.e._order").alias(order), F.col("z.a").alias("allowed"))
 
 
-class GroupMachine:
-    """A work group over one queue: claims, acknowledgements, nacks, rejects and steals.
+ENTRY_OPS = "queue string, group string, offset bigint, seq bigint, op string, consumer string, to string, at_us bigint"
+OUTCOMES = "queue string, group string, offset bigint, seq bigint, op string, ok boolean, consumer string, deliveries int"
 
-    Times are seconds. ``messages`` maps live offsets to (expires_at or None); the
-    tail is one past the highest appended offset.
-    """
 
-    def __init__(self, state: dict | None = None, visibility: float = 30, max_deliveries: int = 5, max_pending: int = 100_000) -> None:
-        self.s = state or {"cursor": 0, "committed": 0, "tail": 0, "pending": {}, "messages": {}}
-        self.visibility, self.max_deliveries, self.max_pending = visibility, max_deliveries, max_pending
-
-    def append(self, offset: int, expires_at: float | None) -> None:
-        self.s["messages"][str(offset)] = expires_at
-        self.s["tail"] = max(self.s["tail"], offset + 1)
-
-    def _live(self, offset: int, now: float) -> bool | None:
-        """None: not stored; False: expired."""
-        if str(offset) not in self.s["messages"]:
-            return None
-        expires = self.s["messages"][str(offset)]
-        return expires is None or now <= expires
-
-    def claim(self, consumer: str, now: float, limit: int = 1) -> list[tuple[int, str]]:
-        """(offset, delivered or dead) up to ``limit`` deliveries: new rows first, then stale ones of others."""
-        out, given = [], 0
-        while given < limit and len(self.s["pending"]) < self.max_pending:
-            at, found = self.s["cursor"], None
-            while at < self.s["tail"]:
-                at += 1
-                if self._live(at - 1, now):
-                    found = at - 1
-                    break
-            if found is None:
-                break  # a skipped row moves the cursor only with the next delivery
-            self.s["cursor"] = at
-            self.s["pending"][str(found)] = [consumer, now, 1]
-            out.append((found, "delivered"))
-            given += 1
-        for offset in sorted(map(int, self.s["pending"])):
-            if given >= limit:
-                break
-            owner, claimed, count = self.s["pending"][str(offset)]
-            if owner == consumer or claimed >= now - self.visibility:
-                continue
-            live = self._live(offset, now)
-            if count >= self.max_deliveries:
-                del self.s["pending"][str(offset)]
-                if live is not None:
-                    out.append((offset, "dead"))
-            elif live is False:
-                del self.s["pending"][str(offset)]
-            elif live:
-                self.s["pending"][str(offset)] = [consumer, now, count + 1]
-                out.append((offset, "delivered"))
-                given += 1
-        return out
-
-    def _advance(self) -> None:
-        low = min(map(int, self.s["pending"]), default=None)
-        self.s["committed"] = self.s["cursor"] if low is None else max(self.s["committed"], low)
-
-    def ack(self, consumer: str, offsets: list[int]) -> None:
-        for o in offsets:
-            if self.s["pending"].get(str(o), [None])[0] == consumer:
-                del self.s["pending"][str(o)]
-        self._advance()
-
-    reject = ack
-
-    def nack(self, consumer: str, offset: int, now: float) -> None:
-        entry = self.s["pending"].get(str(offset))
-        if entry and entry[0] == consumer:
-            entry[1], entry[2] = now - self.visibility - 1, entry[2] + 1
-
-    def apply(self, op: str, offset: int | None, consumer: str | None, at: float, expires_at: float | None, limit: int | None):
-        if op == "append":
-            self.append(offset, expires_at)
-        elif op == "claim":
-            return self.claim(consumer, at, limit or 1)
-        elif op in ("ack", "reject"):
-            self.ack(consumer, [offset])
-        elif op == "nack":
-            self.nack(consumer, offset, at)
-        return []
-
-
-OUT = "queue string, group string, seq bigint, op string, consumer string, offset bigint, outcome string, cursor bigint, committed bigint, pending bigint"
-
-
-def _rows(machine: GroupMachine, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for r in pdf.sort_values("seq").itertuples():
-        none = lambda x: None if pd.isna(x) else x
-        offset = none(r.offset)
-        got = machine.apply(r.op, None if offset is None else int(offset), none(r.consumer), float(r.at), none(r.expires_at), None if none(r.limit) is None else int(r.limit))
-        for o, outcome in got or [(offset, r.op)]:
-            out.append((*key, int(r.seq), r.op, none(r.consumer), o, outcome, machine.s["cursor"], machine.s["committed"], len(machine.s["pending"])))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-    return frame.astype({"offset": "Int64"})
-
-
-def run_groups(ops: DataFrame) -> DataFrame:
-    """Outcome of every operation (queue, group, seq, op, offset, consumer, at, expires_at, limit), in order of seq."""
-    ship(ops.sparkSession)
-    return ops.groupBy("queue", "group").applyInPandas(lambda key, pdf: _rows(GroupMachine(), key, pdf), OUT)
+class _EntryProcessor(StatefulProcessor):
+    """One pending entry: owner, claim time and deliveries; nothing is kept once it is gone."""
 
+    def __init__(self, visibility_us: int) -> None:
+        self.visibility_us = visibility_us
 
-class _GroupProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("group", "json string")
+        self.entry = handle.getValueState("entry", "consumer string, claimed_us bigint, deliveries int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        machine = GroupMachine(json.loads(held[0]) if held else None)
-        frames = list(rows)
-        yield _rows(machine, key, pd.concat(frames))
-        self.state.update((json.dumps(machine.s),))
+        held = tuple(self.entry.get()) if self.entry.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            ok = held is None if r.op == "deliver" else held is not None and held[0] == r.consumer
+            if ok and r.op == "deliver":
+                held = (r.consumer, int(r.at_us), 1)
+            elif ok and r.op == "nack":
+                held = (held[0], int(r.at_us) - self.visibility_us - 1_000_000, held[2] + 1)
+            elif ok and r.op == "transfer":
+                held = (r.to, int(r.at_us), held[2] + 1)
+            elif ok:
+                held = None
+            out.append((*key, int(r.seq), r.op, ok, held[0] if held else None, held[2] if held else None))
+        if held is None:
+            self.entry.clear()
+        else:
+            self.entry.update(held)
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
+        yield frame.astype({"deliveries": "Int32"})
 
     def close(self) -> None:
         pass
 
 
-def stream_groups(ops: DataFrame) -> DataFrame:
-    """run_groups over a stream; needs the RocksDB state store."""
+def stream_settle(ops: DataFrame, visibility_s: int = 30) -> DataFrame:
+    """Outcomes of a stream of operations on pending entries (ENTRY_OPS), and the entry after each.
+
+    op is deliver, ack, reject, nack or transfer, with the rules of claims.settle. State
+    is one small row for each entry, keyed by its offset, so a busy group is spread
+    over all tasks. Needs the RocksDB state store.
+    """
     ship(ops.sparkSession)
-    return ops.groupBy("queue", "group").transformWithStateInPandas(
-        statefulProcessor=_GroupProcessor(), outputStructType=OUT, outputMode="append", timeMode="None"
+    return ops.groupBy("queue", "group", "offset").transformWithStateInPandas(
+        statefulProcessor=_EntryProcessor(visibility_s * 1_000_000), outputStructType=OUTCOMES, outputMode="append", timeMode="None"
     )
 
 

@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from logloom.functions import topics as t
 
 
-def plain_match(f, topic, guard=True):
-    if not f or not topic:
-        return False
-    if f == topic:
-        return True
-    if guard and topic.startswith("$") and not f.startswith("$"):
-        return False
-    fs, ts = f.split("/"), topic.split("/")
-    for i, level in enumerate(fs):
+#: Levels of topics, and of the filters beside them.
+WORDS = ["k", "mm", "", "$x", "z.9"]
+NAMES = ["/".join(p) for n in (1, 2, 3) for p in itertools.product([*WORDS, "+", "#"], repeat=n)]
+
+
+def covered(f):
+    """The topics of up to three levels over WORDS that a filter stands for, written out."""
+    out = [()]
+    for i, level in enumerate(f.split("/")):
         if level == "#":
-            return True
-        if i >= len(ts) or (level != "+" and level != ts[i]):
-            return False
-    return len(fs) == len(ts)
+            tails = [t for n in range(4) for t in itertools.product(WORDS, repeat=n)]
+            # with levels before it, # also stands for none
+            return {"/".join(o + t) for o in out for t in tails if (t or i) and len(o + t) <= 3}
+        out = [(*o, x) for o in out for x in (WORDS if level == "+" else [level])]
+    return {"/".join(o) for o in out}
+
+
+COVERED = {f: covered(f) for f in NAMES if f}
+
+
+def plain_match(f, topic, guard=True):
+    """Membership in what the filter stands for; a topic always matches itself, the empty one nothing."""
+    hidden = guard and topic[:1] == "$" and f[:1] != "$"
+    return bool(f and topic) and (topic == f or (topic in COVERED[f] and not hidden))
 
 
-LEVELS = ["a", "b", "+", "#", "$sys", "", "x.y"]
-NAMES = ["/".join(p) for n in (1, 2, 3) for p in itertools.product(LEVELS, repeat=n)]
 VALID = [f for f in NAMES if f and "#" not in f.split("/")[:-1]]
 TOPICS = [x for x in NAMES if not set("+#") & set(x)]
 
