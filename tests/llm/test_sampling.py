@@ -197,22 +197,5 @@ def test_warc_takes_repeated_and_null_ids_and_long_payloads(spark):
     assert out == sorted([("1", 1_400_000, "revisit", 2)] * 2 + [("2", 1_400_000, "response", None), ("None", 1_400_000, "response", None), ("None", 1200, "response", None), ("3", 1200, "response", None), ("3", 5, "response", None)])
 
 
-def test_pipeline_stages_take_awkward_rows(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    own = docs.select(*corpus_pipeline.COLUMNS)
-    spark.createDataFrame([(1, own.first().text or "x")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    own.write.parquet(f"{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
-    rows = own
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, str(tmp_path))
-        assert rows.columns == corpus_pipeline.COLUMNS
-    empty = own.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, str(tmp_path)).count() == 0
-
-
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
