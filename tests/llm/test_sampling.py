@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -63,6 +64,46 @@ def test_flow_uses_overlaps_and_spreads_repeats():
     assert [sum(f.values()) for f in flow] == [int(1.5 * i) for i in range(20_000)] + [0]
 
 
+def test_flow_is_maximal_and_cheapest():
+    rng = random.Random(1)
+    for _ in range(40):
+        sources = "abc"[: rng.randint(1, 3)]
+        patterns = [(tuple(rng.sample(sources, rng.randint(1, len(sources)))), rng.randint(0, 3)) for _ in range(rng.randint(1, 3))]
+        quotas = {s: rng.randint(0, 6) for s in sources}
+        arcs = [(p, s) for p, (members, _) in enumerate(patterns) for s in members]
+        best = (0, 0)
+        for amounts in itertools.product(*[range(min(2 * patterns[p][1], quotas[s]) + 1) for p, s in arcs]):
+            used, filled = collections.Counter(), collections.Counter()
+            for (p, s), n in zip(arcs, amounts):
+                used[p] += n
+                filled[s] += n
+            if all(used[p] <= 2 * t for p, (_, t) in enumerate(patterns)) and all(filled[s] <= quotas[s] for s in sources):
+                repeated = sum(max(0, used[p] - t) for p, (_, t) in enumerate(patterns))
+                best = max(best, (sum(amounts), -repeated))
+        flow = mixing.min_cost_flow(patterns, quotas)
+        repeated = sum(max(0, sum(f.values()) - t) for f, (_, t) in zip(flow, patterns))
+        assert (sum(sum(f.values()) for f in flow), -repeated) == best
+        assert all(set(f) <= set(m) for f, (m, _) in zip(flow, patterns))
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(1, 50), rng.choice([["a"], ["b"], ["a", "b"], ["b", "c"], [None, "c"]]), "mine") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, words int, members array<string>, _h string")
+    quotas = {"a": 4000, "b": 3000, "c": 2500, None: 1000}
+    out, _ = mixing.mix(df, "words", "members", quotas)
+    got = out.collect()
+    assert out.columns == [*df.columns, "taken"] and {r._h for r in got} == {"mine"}
+    totals, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r.taken <= 2 * r.words
+        totals[tuple(r.members)] += r.words
+        taken[tuple(r.members)] += r.taken
+    flow = dict(zip(totals, (sum(f.values()) for f in mixing.min_cost_flow(list(totals.items()), quotas))))
+    repeated = lambda x: sum(max(0, x[k] - totals[k]) for k in totals)
+    assert sum(taken.values()) == sum(flow.values()) and repeated(taken) == repeated(flow)
+
+
 def test_mix_meets_its_targets(docs, none, raw):
     out = mixing.mix_sources(docs).collect()
     assert len(out) == len(raw)
