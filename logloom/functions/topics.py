@@ -287,22 +287,22 @@ def consumer_match(queue: Column, pattern: Column, mqtt_filter: Column, topic: C
     )
 
 
-def candidate_filters(topic: Column | str) -> Column:
-    """Every well-formed filter that matches the topic under topic_match, for an equality join.
+def filter_shape(topic_filter: Column | str) -> Column:
+    """The filter with a dot for every level that is no wildcard."""
+    return F.array_join(F.transform(F.split(as_col(topic_filter), "/", -1), lambda x: F.when(x.isin("+", "#"), x).otherwise(".")), "/")
 
-    About 3 * 2 ** levels filters: use it for distinct topics of few levels.
+
+def candidate_filters(topic: Column | str, shapes: list[str]) -> Column:
+    """The filters of the given shapes that match the topic under topic_match, for an equality join.
+
+    One for each shape that fits at most. ``#`` stands only at the end of a shape.
     """
     t = as_col(topic)
     levels = F.split(t, "/", -1)
-    first = F.get(levels, F.lit(0))
-    with_hash = lambda xs: F.transform(xs, lambda p: F.concat(p, F.lit("/#")))
-    start = F.struct(F.array(first, F.lit("+")).alias("open"), F.array(F.lit("#")).alias("out"))
-    step = lambda a, x: F.struct(
-        F.flatten(F.transform(a["open"], lambda p: F.array(F.concat(p, F.lit("/"), x), F.concat(p, F.lit("/+"))))).alias("open"),
-        F.concat(a["out"], with_hash(a["open"])).alias("out"),
-    )
-    found = F.aggregate(
-        F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), start, step,
-        lambda a: F.array_distinct(F.concat(a["out"], a["open"], with_hash(a["open"]))),
-    )
+    known = [x.split("/") for x in shapes if "#" not in x.split("/")[:-1]]
+    if not known:
+        return F.array().cast("array<string>")
+    fits = lambda s: F.when(F.get(s, F.size(s) - 1) == "#", F.size(s) - 1 <= F.size(levels)).otherwise(F.size(s) == F.size(levels))
+    fill = lambda s: F.array_join(F.transform(s, lambda x, i: F.when(x == ".", F.get(levels, i)).otherwise(x)), "/")
+    found = F.transform(F.filter(F.array(*[F.array(*[F.lit(x) for x in s]) for s in known]), fits), fill)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda f: dollar_guarded(f, t)))

@@ -1,8 +1,9 @@
 """Joins of publishes with queues, subscriptions, exchanges, endpoints and retained messages.
 
-Wildcard joins are equality joins: the filters that can match a topic are enumerated
-for distinct topics. Topics of more than MAX_LEVELS levels are joined on the first
-level instead and checked by pattern.
+Wildcard joins are equality joins: for distinct topics the filters that can match are
+enumerated, one for each shape (places of wildcards) that any filter has. Topics of
+more than MAX_LEVELS levels are joined on the first level instead and checked by
+pattern.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ MAX_LEVELS = 8
 def _matching(topics: DataFrame, filters: DataFrame, guard: bool) -> DataFrame:
     """(topic, _filter) for distinct topics and filters."""
     deep = F.size(F.split("topic", "/", -1)) > MAX_LEVELS
-    found = topics.filter(~deep).withColumn("_filter", F.explode(t.candidate_filters(F.col("topic"))))
+    # shapes of up to MAX_LEVELS levels: 3 * 2 ** MAX_LEVELS at most
+    shapes = [r[0] for r in filters.filter(F.size(F.split("_filter", "/", -1)) <= MAX_LEVELS + 1).select(t.filter_shape(F.col("_filter"))).distinct().collect()]
+    found = topics.filter(~deep).withColumn("_filter", F.explode(t.candidate_filters(F.col("topic"), sorted(shapes))))
     shallow = found.join(filters, "_filter", "left_semi").select("topic", "_filter")
     head = lambda c: F.substring_index(c, "/", 1)
     firsts = F.array_distinct(F.array(head(F.col("topic")), F.lit("+"), F.lit("#")))
