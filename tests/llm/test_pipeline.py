@@ -43,8 +43,8 @@ def test_near_duplicate_stage(spark, own, folder):
         return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     values = [(shingles(r.text), simhash.shingle_fingerprint(r.text, 5, 4, True)) for r in rows]
-    near = lambda a, b: sum(bin((x ^ y) % 2**64).count("1") for x, y in zip(a[1], b[1])) <= 51
-    alike = lambda a, b: a[0] == b[0] or 5 * len(a[0] & b[0]) >= 4 * len(a[0] | b[0])
+    near = lambda a, b: sum(bin((x ^ y) % 2**64).count("1") for x, y in zip(a[1], b[1])) <= 64
+    alike = lambda a, b: a[0] == b[0] or 25 * len(a[0] & b[0]) ** 2 >= 16 * len(a[0]) * len(b[0]) > 0
     found = classes(values, lambda a, b: near(a, b) and alike(a, b))
     ids = collections.defaultdict(set)
     for c, r in zip(found, rows):
