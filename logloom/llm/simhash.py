@@ -87,16 +87,20 @@ def text_key(joined: bytes) -> list[int]:
     return np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, texts: bool = False) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, texts: bool = False, distinct: bool = False
+) -> DataFrame:
     """(id, text_hash, fp: array of ``words`` 64-bit parts) of every row, over whole texts.
 
-    With ``texts`` the parts are over distinct shingles; the text's key and the number of them follow.
+    With ``distinct`` each shingle of a text counts once; with ``texts`` too, and the
+    text's key and the number of its shingles follow the parts.
     """
+    distinct = distinct or texts
 
     def run(batches):
         for b in batches:
             parts = [
-                shingle_fingerprint(t, shingle, words, texts) + (_keyed(t, shingle) if texts else [])
+                shingle_fingerprint(t, shingle, words, distinct) + (_keyed(t, shingle) if texts else [])
                 for t in b.column(2).to_pylist()
             ]
             columns = [b.column(0), b.column(1), pa.array(parts, pa.list_(pa.int64()))]
@@ -369,30 +373,35 @@ def near_duplicates(
     segments: int = 1,
     tile: int = 16_384,
     similarity: float | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """(id, fp, component) of every row: the class of texts that link, directly or not.
 
     Texts link if their fingerprints of ``words`` * 64 bits differ in ``radius`` bits
     or fewer (default: a fifth, a similarity of 0.8). ``first_radius`` may bound the
     difference of the first 64 bits further, which loses links; by default it loses none.
-    With ``similarity`` texts of different words within the radius (of fingerprints over
+    With ``distinct`` a shingle counts once, however often it stands in a text, so a
+    much repeated line weighs no more than another. With ``similarity`` texts of different words within the radius (of fingerprints over
     distinct shingles) link only if the cosine similarity of their sets of shingles,
     which SimHash estimates, reaches it when computed exactly; the default radius is then a
     quarter of the bits, which a pair at 0.8 misses in 4 % of cases and one at 0.85 in
-    none. ``component`` is the smallest id of the class.
+    none. Every such pair may have to be compared, where without ``similarity`` a spanning
+    forest of the links is enough: a group of texts that are within the radius and don't
+    reach the similarity costs the square of its size. ``component`` is the smallest id
+    of the class.
     Null, empty and blank texts have fingerprint 0 and link to each other; texts
     shorter than a shingle are one shingle; rows that repeat an id share a class only
     if their fingerprints link. ``component`` is null only in classes without any id.
     An empty table gives no rows.
     """
-    out = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
+    out = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity, distinct)
     return out.select(F.col("id").alias(id_col), F.slice("fp", 1, words).alias("fp"), "component")
 
 
-def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity) -> DataFrame:
+def _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity, distinct) -> DataFrame:
     """As near_duplicates, with text_hash and the class's ``root``, which no other class has."""
     radius = words * 64 // (5 if similarity is None else 4) if radius is None else radius
-    fps = written(fingerprints(docs, id_col, text_col, shingle, words, similarity is not None), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, shingle, words, similarity is not None, distinct), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     distinct = written(distinct, "distinct-fingerprints")
     if similarity is None:
@@ -423,7 +432,8 @@ def keep_first(
     first_radius: int | None = None,
     segments: int = 1,
     tile: int = 16_384,
-    similarity: float | None = 0.8,
+    similarity: float | None = None,
+    distinct: bool = True,
 ) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id.
 
@@ -432,7 +442,7 @@ def keep_first(
     repeat the id kept, one stays: that with the smallest hash of its text, then of
     the row. Rows with a null id can't be named and all stay.
     """
-    classes = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity)
+    classes = _classes(docs, id_col, text_col, shingle, words, radius, first_radius, segments, tile, similarity, distinct)
     classes = written(classes.filter("id is not null").select("id", "text_hash", "root"), "classes")
     shared = classes.groupBy("id").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
     classes = classes.join(shared.select("id", F.lit(True).alias("_shared")), "id", "left")

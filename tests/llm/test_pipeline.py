@@ -6,11 +6,12 @@ import re
 import zlib
 
 import pytest
+import xxhash
 from test_dedup import classes, split_words
 from test_filters import brute, items_for
 
 import corpus_pipeline
-from logloom.llm import mixing, simhash
+from logloom.llm import mixing
 
 STAGES = dict(corpus_pipeline.STAGES)
 key = lambda r: (str(r.doc_id), r.text, r.lang, r.source, r.n_chars)
@@ -38,14 +39,14 @@ def test_language_stage(spark, own, folder):
 def test_near_duplicate_stage(spark, own, folder):
     rows = own.collect()
 
-    def shingles(t):
+    def parts(t):
         w = split_words(t)
-        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        shingles = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        hashes = [[xxhash.xxh64_intdigest(x, 42 + k) for x in shingles] for k in range(4)]
+        return [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in hashes]
 
-    values = [(shingles(r.text), simhash.shingle_fingerprint(r.text, 5, 4, True)) for r in rows]
-    near = lambda a, b: sum(bin((x ^ y) % 2**64).count("1") for x, y in zip(a[1], b[1])) <= 64
-    alike = lambda a, b: a[0] == b[0] or 25 * len(a[0] & b[0]) ** 2 >= 16 * len(a[0]) * len(b[0]) > 0
-    found = classes(values, lambda a, b: near(a, b) and alike(a, b))
+    values = [parts(r.text) for r in rows]
+    found = classes(values, lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(a, b)) <= 51)
     ids = collections.defaultdict(set)
     for c, r in zip(found, rows):
         ids[r.doc_id].add(c)
