@@ -34,12 +34,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates.
 
-    Fingerprints of 256 bits over shingles of five words propose pairs where a quarter of
-    the bits or fewer differ; a pair links if the cosine similarity of its sets of
-    shingles, computed exactly, is 0.8 or more. Null, empty and blank texts are one group. Of rows that repeat the id kept the one with
+    Texts link at a fingerprint similarity of 0.8 or more: a fifth or less of 256 bits
+    differ. Fingerprints are over distinct shingles of five words. Null, empty and blank texts are one group. Of rows that repeat the id kept the one with
     the smallest hash of its text stays; rows without an id all stay (see keep_first).
     """
-    return keep_first(docs, shingle=5, words=4, similarity=0.8).select(*COLUMNS)
+    return keep_first(docs, shingle=5, words=4, radius=51).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
